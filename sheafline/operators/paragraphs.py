@@ -57,9 +57,9 @@ def contents_runs(paras: DataFrame, least: int = 3, longest: int = 250) -> DataF
 
 
 def occurrence_ids(rows: DataFrame, kind: str, version: str) -> DataFrame:
-    """Content-stable ids of (doc_id, section, text) rows; ``at`` orders equal texts of a section."""
-    nth = F.row_number().over(Window.partitionBy("doc_id", "section", F.sha2("text", 256)).orderBy("at")) - 1
-    return rows.select("at", "doc_id", T.stable_id(F.col("doc_id"), F.lit(kind), F.col("section"), F.col("text"), nth, F.lit(version)).alias("chunk_id"))
+    """Content-stable ids of (doc_id, section, text) rows; ``place`` orders equal texts of a section."""
+    nth = F.row_number().over(Window.partitionBy("doc_id", "section", F.sha2("text", 256)).orderBy("place")) - 1
+    return rows.select("place", "doc_id", T.stable_id(F.col("doc_id"), F.lit(kind), F.col("section"), F.col("text"), nth, F.lit(version)).alias("chunk_id"))
 
 
 def neighbours(chunks: DataFrame) -> DataFrame:

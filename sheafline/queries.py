@@ -96,7 +96,7 @@ def c03_contents_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 def p06_stable_ids(spark: SparkSession, sf: str) -> DataFrame:
     p = pages.usable(_table(spark, sf, "page_records")).where(F.col("text") != "")
-    return paragraphs.occurrence_ids(p.select(F.col("page_no").alias("at"), "doc_id", F.coalesce(F.try_element_at("headings", F.lit(1))["text"], F.lit("")).alias("section"), "text"), "p", "1")
+    return paragraphs.occurrence_ids(p.select(F.col("page_no").alias("place"), "doc_id", F.coalesce(F.try_element_at("headings", F.lit(1))["text"], F.lit("")).alias("section"), "text"), "p", "1")
 
 
 def t11_prefix(spark: SparkSession, sf: str) -> DataFrame:
@@ -323,9 +323,9 @@ WITH {_LINES}, hit AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, length(para)
 island AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM hit)
 SELECT doc_id, min(pos) AS first_pos, count(*) AS lines FROM island WHERE hit GROUP BY doc_id, island HAVING count(*) >= 3""",
     "p06_stable_ids": f"""
-WITH {_USABLE}, r AS (SELECT page_no AS at, doc_id, coalesce(headings[1].text, '') AS section, text FROM u WHERE text <> ''),
-n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section, text ORDER BY at) - 1 AS nth FROM r)
-SELECT at, doc_id, left(sha256(doc_id || ':p:' || section || ':' || sha256(text) || ':' || nth || ':1'), 16) AS chunk_id FROM n""",
+WITH {_USABLE}, r AS (SELECT page_no AS place, doc_id, coalesce(headings[1].text, '') AS section, text FROM u WHERE text <> ''),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section, text ORDER BY place) - 1 AS nth FROM r)
+SELECT place, doc_id, left(sha256(doc_id || ':p:' || section || ':' || sha256(text) || ':' || nth || ':1'), 16) AS chunk_id FROM n""",
     "t11_prefix": f"""
 WITH r AS (SELECT page_no, doc_id, page, coalesce(est_figure, false) AS approx, regexp_replace(coalesce(headings[1].text, ''), '{_STRIP}', '', 'g') AS s FROM page_records WHERE doc_id IS NOT NULL)
 SELECT page_no, concat_ws(' — ', upper(doc_id), CASE WHEN s = '' THEN NULL WHEN length(s) <= 80 THEN s ELSE '…' || right(s, 79) END,
