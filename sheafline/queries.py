@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .config import ChunkSettings
 from .functions import text as T
-from .operators import blocks, hierarchy, linked, pages, paragraphs, shred, structured
+from .operators import blocks, hierarchy, linked, pages, paragraphs, shred, structured, word
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -239,13 +239,22 @@ def i03_image_uses(spark: SparkSession, sf: str) -> DataFrame:
     return images.where(F.col("sha256").isNotNull()).groupBy("sha256").agg(F.count("*").alias("n"), F.min("rec_id").alias("first_rec"))
 
 
+def a_sectioned_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return word.sectioned(_table(spark, sf, "docling_records"))
+
+
+def k05_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    r = _table(spark, sf, "docling_records")
+    return word.as_markdown(r.select(F.col("rec_id").cast("string").alias("path"), "payload")).where(F.col("markdown").isNotNull())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_hierarchy, p1_descendants, p5_found, p5_cells, p5_images, p5_metadata,
         t_tokens, t_norm_hash, t_sentences, s17_binary_hash, x_paragraphs, x10_plain_text, p08_para_dedup, h09_identical, p21_greedy_pack, c03_contents_runs, p06_stable_ids, t11_prefix, h11_prev_next, h12_ranges, p23_common_path, p26_quantiles,
         p11_forward_fill, h04_sections, a01_heading_parent, c07_repeated_lines, c12_body_size, c14_shape, c18_levels, a13_roles, a14_extent, k04_dense_grid, k07_markdown_cells, x19_header_rows, c10_nearest, p09_referenced, a11_dangling,
-        p01_usable_pages, p02_page_sections, p03_table_titles, c_page_chunks, c_page_parents, b_document_chunks, b_document_parents, p26_diagnostic, i03_image_uses,
+        p01_usable_pages, p02_page_sections, p03_table_titles, c_page_chunks, c_page_parents, b_document_chunks, b_document_parents, p26_diagnostic, i03_image_uses, a_sectioned_chunks, k05_markdown,
     )
 }
 

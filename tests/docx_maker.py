@@ -1,0 +1,95 @@
+"""Word packages built in memory for tests."""
+
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+NS = (
+    f'xmlns:w="{W}" xmlns:r="{R}" xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing" '
+    'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:pic="http://schemas.openxmlformats.org/drawingml/2006/picture" '
+    'xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
+)
+STYLES = f"""<w:styles {NS}><w:docDefaults><w:rPrDefault><w:rPr><w:sz w:val="22"/></w:rPr></w:rPrDefault></w:docDefaults>
+<w:style w:type="paragraph" w:default="1" w:styleId="Normal"><w:name w:val="Normal"/></w:style>
+<w:style w:type="paragraph" w:styleId="Heading1"><w:name w:val="heading 1"/><w:basedOn w:val="Normal"/><w:pPr><w:outlineLvl w:val="0"/></w:pPr></w:style>
+<w:style w:type="paragraph" w:styleId="Heading2"><w:name w:val="heading 2"/><w:basedOn w:val="Heading1"/><w:pPr><w:outlineLvl w:val="1"/></w:pPr></w:style>
+<w:style w:type="paragraph" w:styleId="Loop"><w:name w:val="loop"/><w:basedOn w:val="Loop"/></w:style>
+<w:style w:type="paragraph" w:styleId="Caption"><w:name w:val="caption"/></w:style></w:styles>"""
+NUMBERING = f"""<w:numbering {NS}><w:abstractNum w:abstractNumId="0">
+<w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="decimal"/><w:lvlText w:val="%1."/></w:lvl>
+<w:lvl w:ilvl="1"><w:start w:val="1"/><w:numFmt w:val="lowerLetter"/><w:lvlText w:val="%1.%2)"/></w:lvl></w:abstractNum>
+<w:abstractNum w:abstractNumId="1"><w:lvl w:ilvl="0"><w:numFmt w:val="bullet"/><w:lvlText w:val="&#xF0B7;"/></w:lvl></w:abstractNum>
+<w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="1"/></w:num>
+<w:num w:numId="3"><w:abstractNumId w:val="0"/><w:lvlOverride w:ilvl="0"><w:startOverride w:val="5"/></w:lvlOverride></w:num></w:numbering>"""
+FOOTNOTES = f"""<w:footnotes {NS}><w:footnote w:type="separator" w:id="0"><w:p/></w:footnote>
+<w:footnote w:id="2"><w:p><w:r><w:t>A note.</w:t></w:r></w:p></w:footnote></w:footnotes>"""
+CORE = '<c xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title> Report </dc:title></c>'
+PNG = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (40).to_bytes(4, "big") + (30).to_bytes(4, "big") + b"\x08\x02\0\0\0"
+
+
+def run(text="", inner="", **props):
+    tags = {"bold": "<w:b/>", "hidden": "<w:vanish/>"}
+    rpr = "".join(tags[k] for k in props if k in tags) + (f'<w:sz w:val="{props["size"]}"/>' if "size" in props else "")
+    body = f'<w:t xml:space="preserve">{escape(text)}</w:t>' if text else ""
+    return f"<w:r>{f'<w:rPr>{rpr}</w:rPr>' if rpr else ''}{body}{inner}</w:r>"
+
+
+def para(text="", style=None, num=None, inner="", **props):
+    ppr = (f'<w:pStyle w:val="{style}"/>' if style else "") + (f'<w:numPr><w:ilvl w:val="{num[1]}"/><w:numId w:val="{num[0]}"/></w:numPr>' if num else "")
+    return f"<w:p>{f'<w:pPr>{ppr}</w:pPr>' if ppr else ''}{run(text, **props) if text else ''}{inner}</w:p>"
+
+
+def heading(text, level=1):
+    return para(text, f"Heading{level}")
+
+
+def page_break():
+    return para(inner='<w:r><w:br w:type="page"/></w:r>')
+
+
+def table(rows, header=True):
+    out = []
+    for i, row in enumerate(rows):
+        cells = "".join(
+            f"<w:tc><w:tcPr>{f'<w:gridSpan w:val={chr(34)}{c[1]}{chr(34)}/>' if isinstance(c, tuple) and isinstance(c[1], int) else ''}{c[1] if isinstance(c, tuple) and isinstance(c[1], str) else ''}</w:tcPr>{para(c[0] if isinstance(c, tuple) else c)}</w:tc>"
+            for c in row
+        )
+        out.append(f"<w:tr>{'<w:trPr><w:tblHeader/></w:trPr>' if header and i == 0 else ''}{cells}</w:tr>")
+    return f"<w:tbl>{''.join(out)}</w:tbl>"
+
+
+def drawing(alt, name="Picture 1"):
+    return para(
+        inner=f'<w:r><w:drawing><wp:inline><wp:extent cx="952500" cy="476250"/><wp:docPr id="1" name="{name}" descr="{escape(alt)}"/>'
+        '<a:graphic><a:graphicData><pic:pic><pic:blipFill><a:blip r:embed="rImg"/></pic:blipFill></pic:pic></a:graphicData></a:graphic></wp:inline></w:drawing></w:r>'
+    )
+
+
+def package(*body, extra=None):
+    rels = "http://schemas.openxmlformats.org/package/2006/relationships"
+    parts = {
+        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="png" ContentType="image/png"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{rels}"><Relationship Id="r1" Type="{R}/officeDocument" Target="word/document.xml"/></Relationships>',
+        "word/_rels/document.xml.rels": f'<Relationships xmlns="{rels}"><Relationship Id="s" Type="{R}/styles" Target="styles.xml"/><Relationship Id="n" Type="{R}/numbering" Target="numbering.xml"/>'
+        f'<Relationship Id="f" Type="{R}/footnotes" Target="footnotes.xml"/><Relationship Id="rImg" Type="{R}/image" Target="media/image1.png"/><Relationship Id="ext" Type="{R}/hyperlink" Target="https://example.org/x" TargetMode="External"/></Relationships>',
+        "word/document.xml": f"<w:document {NS}><w:body>{''.join(body)}</w:body></w:document>",
+        "word/styles.xml": STYLES,
+        "word/numbering.xml": NUMBERING,
+        "word/footnotes.xml": FOOTNOTES,
+        "word/media/image1.png": PNG,
+        "docProps/core.xml": CORE,
+    } | (extra or {})
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in parts.items():
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+SENTENCES = ["The site diary for the pump station describes the risk matrix of the main batch number {}.", "The audit trail updates the delivery note for mobile equipment number {}."]
+
+
+def text(n, seed=0):
+    return " ".join(SENTENCES[(i + seed) % 2].format(i + 100 * seed) for i in range(n))
