@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import Scratch
+
 IDENTITY = "self_ref"
 ITEM = "item"
 ROOT_TYPE = "record"
@@ -316,7 +318,7 @@ def document_tables(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     sidecar entry under the item's name.  The item ``#/body`` is the root, not an item.
     """
     graph = analyse(records, forced=FORCED)
-    rows = shred(records, graph)
+    rows = Scratch(records.sparkSession, "shred").keep(shred(records, graph), "rows")  # parsed once, read by every table
     real = (F.col("self_ref") != "#/body") & (F.col("n_entries") > 0)
     cell_columns = ["text", "start_row", "start_col", "start_row_offset_idx", "start_col_offset_idx", "row_span", "col_span", "column_header", "row_header", "row_section"]
     cells = rows.where(F.col("relation").isin(*CELL_LISTS) & (F.col("place") == "own") & F.col("pos").isNotNull() & real).select(
