@@ -63,6 +63,17 @@ class Scratch:
             _remove(self.spark, path)
 
 
+def small(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has been counted and found within the bound, else as it is.
+
+    ``df`` should be a written table of a few narrow columns, so that counting reads
+    only metadata and the bound in rows bounds the bytes.
+    """
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     """Number of partitions for an explicit repartition: the session's shuffle setting."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
