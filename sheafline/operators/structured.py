@@ -58,7 +58,7 @@ class Builder:
         self.s = settings
         self.count = counter(settings.counter)
         self.reader = Document(doc)
-        self.out = Emitter(settings, self.count, document_id(doc, stem), order, "docxrag" if self.reader.from_word else "docling")
+        self.out = Emitter(settings, self.count, document_id(doc, stem), order, "word" if self.reader.from_word else "docling")
         self.path: list[tuple[int, str]] = []
         self.paras: list[dict] = []
         self.first: dict[str, dict] = {}

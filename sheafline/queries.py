@@ -77,7 +77,7 @@ def x10_plain_text(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "para_blocks").where(F.col("text").isNotNull()).select("para_no", blocks.plain_text().alias("plain"))
 
 
-def p08_para_dedup(spark: SparkSession, sf: str) -> DataFrame:
+def para_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return paragraphs.repeats(paragraphs.exploded(_table(spark, sf, "documents")), 25)
 
 
@@ -86,7 +86,7 @@ def h09_identical(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy("doc_id", T.content_hash(F.col("text")).alias("h")).agg(F.min("chunk_no").alias("first_no"), F.count("*").alias("copies"))
 
 
-def p21_greedy_pack(spark: SparkSession, sf: str) -> DataFrame:
+def greedy_pack(spark: SparkSession, sf: str) -> DataFrame:
     return paragraphs.packed(_table(spark, sf, "documents"), 64)
 
 
@@ -94,7 +94,7 @@ def c03_contents_runs(spark: SparkSession, sf: str) -> DataFrame:
     return paragraphs.contents_runs(paragraphs.exploded(_table(spark, sf, "documents")))
 
 
-def p06_stable_ids(spark: SparkSession, sf: str) -> DataFrame:
+def stable_ids(spark: SparkSession, sf: str) -> DataFrame:
     p = pages.usable(_table(spark, sf, "page_records")).where(F.col("text") != "")
     return paragraphs.occurrence_ids(p.select(F.col("page_no").alias("place"), "doc_id", F.coalesce(F.try_element_at("headings", F.lit(1))["text"], F.lit("")).alias("section"), "text"), "p", "1")
 
@@ -113,7 +113,7 @@ def h12_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy("doc_id").agg(F.min("order_start").alias("order_start"), F.max("order_end").alias("order_end"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.count_distinct("kind").alias("kinds"))
 
 
-def p23_common_path(spark: SparkSession, sf: str) -> DataFrame:
+def common_prefix(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("doc_id").orderBy("order_start", "chunk_no")
@@ -122,7 +122,7 @@ def p23_common_path(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("chunk_no", F.array_join(paragraphs.shared_beginning(F.col("heading_path"), F.col("after")), " > ").alias("shared"))
 
 
-def p26_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+def quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return paragraphs.quantiles(_table(spark, sf, "hchunks"), "kind", "token_count", {"median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99})
 
 
@@ -133,7 +133,7 @@ def _paras(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.paragraphs(_table(spark, sf, "para_blocks"))
 
 
-def p11_forward_fill(spark: SparkSession, sf: str) -> DataFrame:
+def forward_fill(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.filled_pages(_paras(spark, sf))
 
 
@@ -187,7 +187,7 @@ def c10_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.nearest_targets(blocks.items(_table(spark, sf, "items")))
 
 
-def p09_referenced(spark: SparkSession, sf: str) -> DataFrame:
+def referenced_items(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.referenced(blocks.items(_table(spark, sf, "items")))
 
 
@@ -198,16 +198,16 @@ def a11_dangling(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- pages and structured documents
 
 
-def p01_usable_pages(spark: SparkSession, sf: str) -> DataFrame:
+def usable_pages(spark: SparkSession, sf: str) -> DataFrame:
     p = pages.usable(_table(spark, sf, "page_records"))
     return p.select("page_no", "doc_id", "page", "source", F.length("text").alias("chars"))
 
 
-def p02_page_sections(spark: SparkSession, sf: str) -> DataFrame:
+def page_sections(spark: SparkSession, sf: str) -> DataFrame:
     return pages.page_sections(pages.usable(_table(spark, sf, "page_records"))).select("page_no", "section_no", "section", "body")
 
 
-def p03_table_titles(spark: SparkSession, sf: str) -> DataFrame:
+def asof_title(spark: SparkSession, sf: str) -> DataFrame:
     return pages.page_tables(_table(spark, sf, "page_records")).select("page_no", "table_no", "title")
 
 
@@ -230,7 +230,7 @@ def b_document_parents(spark: SparkSession, sf: str) -> DataFrame:
     return structured.build(_table(spark, sf, "docling_records"), SETTINGS)[1]
 
 
-def p26_diagnostic(spark: SparkSession, sf: str) -> DataFrame:
+def diagnostic(spark: SparkSession, sf: str) -> DataFrame:
     return linked.diagnostics(*pages.build(_table(spark, sf, "page_records"), SETTINGS), SETTINGS)
 
 
@@ -252,9 +252,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_hierarchy, p1_descendants, p5_found, p5_cells, p5_images, p5_metadata,
-        t_tokens, t_norm_hash, t_sentences, s17_binary_hash, x_paragraphs, x10_plain_text, p08_para_dedup, h09_identical, p21_greedy_pack, c03_contents_runs, p06_stable_ids, t11_prefix, h11_prev_next, h12_ranges, p23_common_path, p26_quantiles,
-        p11_forward_fill, h04_sections, a01_heading_parent, c07_repeated_lines, c12_body_size, c14_shape, c18_levels, a13_roles, a14_extent, k04_dense_grid, k07_markdown_cells, x19_header_rows, c10_nearest, p09_referenced, a11_dangling,
-        p01_usable_pages, p02_page_sections, p03_table_titles, c_page_chunks, c_page_parents, b_document_chunks, b_document_parents, p26_diagnostic, i03_image_uses, a_sectioned_chunks, k05_markdown,
+        t_tokens, t_norm_hash, t_sentences, s17_binary_hash, x_paragraphs, x10_plain_text, para_dedup, h09_identical, greedy_pack, c03_contents_runs, stable_ids, t11_prefix, h11_prev_next, h12_ranges, common_prefix, quantiles,
+        forward_fill, h04_sections, a01_heading_parent, c07_repeated_lines, c12_body_size, c14_shape, c18_levels, a13_roles, a14_extent, k04_dense_grid, k07_markdown_cells, x19_header_rows, c10_nearest, referenced_items, a11_dangling,
+        usable_pages, page_sections, asof_title, c_page_chunks, c_page_parents, b_document_chunks, b_document_parents, diagnostic, i03_image_uses, a_sectioned_chunks, k05_markdown,
     )
 }
 
@@ -317,9 +317,9 @@ SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l)
     "s17_binary_hash": "SELECT doc_id, sha256(text) AS sha256, CAST(CAST('0x' || left(sha256(text), 16) AS UBIGINT) AS VARCHAR) AS binary_hash FROM documents WHERE text IS NOT NULL",
     "x_paragraphs": f"WITH {_LINES} SELECT doc_id, CAST(pos AS INTEGER) AS pos, para, CAST(length(para) AS INTEGER) AS n FROM lines",
     "x10_plain_text": f"SELECT para_no, {_PLAIN} AS plain FROM para_blocks WHERE text IS NOT NULL",
-    "p08_para_dedup": f"WITH {_LINES} SELECT doc_id, sha256({_norm('para')}) AS h, CAST(min(pos) AS INTEGER) AS first_pos, count(*) AS copies FROM lines WHERE {_word_tokens('para')} >= 25 GROUP BY ALL",
+    "para_dedup": f"WITH {_LINES} SELECT doc_id, sha256({_norm('para')}) AS h, CAST(min(pos) AS INTEGER) AS first_pos, count(*) AS copies FROM lines WHERE {_word_tokens('para')} >= 25 GROUP BY ALL",
     "h09_identical": f"SELECT doc_id, sha256({_norm('text')}) AS h, min(chunk_no) AS first_no, count(*) AS copies FROM hchunks WHERE text IS NOT NULL GROUP BY ALL",
-    "p21_greedy_pack": f"""
+    "greedy_pack": f"""
 WITH RECURSIVE {_LINES}, sized AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, {_word_tokens('para')} AS n FROM lines),
 fold AS (
   SELECT doc_id, pos, n, 0 AS grp, n AS used FROM sized WHERE pos = 0
@@ -331,7 +331,7 @@ SELECT doc_id, pos, n, grp FROM fold""",
 WITH {_LINES}, hit AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, length(para) < 250 AND regexp_matches(para, '^.*\S\s*(\t+|\.{{3,}}|…+|[._·]{{3,}}|\s{{3,}})[\s._·…]*(\d{{1,4}}|[ivxlcdm]{{1,7}})\s*$', 'i') AS hit FROM lines),
 island AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM hit)
 SELECT doc_id, min(pos) AS first_pos, count(*) AS lines FROM island WHERE hit GROUP BY doc_id, island HAVING count(*) >= 3""",
-    "p06_stable_ids": f"""
+    "stable_ids": f"""
 WITH {_USABLE}, r AS (SELECT page_no AS place, doc_id, coalesce(headings[1].text, '') AS section, text FROM u WHERE text <> ''),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section, text ORDER BY place) - 1 AS nth FROM r)
 SELECT place, doc_id, left(sha256(doc_id || ':p:' || section || ':' || sha256(text) || ':' || nth || ':1'), 16) AS chunk_id FROM n""",
@@ -341,14 +341,14 @@ SELECT page_no, concat_ws(' — ', upper(doc_id), CASE WHEN s = '' THEN NULL WHE
   CASE WHEN page IS NOT NULL THEN CASE WHEN approx THEN 'page ~' ELSE 'page ' END || (page + 1) END) AS prefix FROM r""",
     "h11_prev_next": "SELECT chunk_no, lag(chunk_no) OVER w AS prev_no, lead(chunk_no) OVER w AS next_no FROM hchunks WINDOW w AS (PARTITION BY doc_id ORDER BY order_start NULLS FIRST, chunk_no)",
     "h12_ranges": "SELECT doc_id, min(order_start) AS order_start, max(order_end) AS order_end, min(page_start) AS page_start, max(page_end) AS page_end, count(DISTINCT kind) AS kinds FROM hchunks GROUP BY doc_id",
-    "p23_common_path": """
+    "common_prefix": """
 WITH n AS (SELECT chunk_no, heading_path AS a, lead(heading_path) OVER (PARTITION BY doc_id ORDER BY order_start NULLS FIRST, chunk_no) AS b FROM hchunks)
 SELECT chunk_no, array_to_string(a[1 : len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i]))], ' > ') AS shared FROM n WHERE a IS NOT NULL AND b IS NOT NULL""",
-    "p26_quantiles": """
+    "quantiles": """
 WITH l AS (SELECT kind, list_sort(list(token_count)) AS v FROM hchunks WHERE token_count IS NOT NULL GROUP BY kind)
 SELECT kind, CAST(len(v) AS BIGINT) AS n, v[least(len(v) - 1, CAST(floor(len(v) * 0.5) AS BIGINT)) + 1] AS median, v[least(len(v) - 1, CAST(floor(len(v) * 0.75) AS BIGINT)) + 1] AS p75,
   v[least(len(v) - 1, CAST(floor(len(v) * 0.95) AS BIGINT)) + 1] AS p95, v[least(len(v) - 1, CAST(floor(len(v) * 0.99) AS BIGINT)) + 1] AS p99, v[len(v)] AS most FROM l""",
-    "p11_forward_fill": f"WITH {_PARAS} SELECT doc_id, blk_order, last_value(page_hint IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY blk_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS page, page_hint IS NULL AS carried FROM p",
+    "forward_fill": f"WITH {_PARAS} SELECT doc_id, blk_order, last_value(page_hint IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY blk_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS page, page_hint IS NULL AS carried FROM p",
     "h04_sections": f"WITH {_PARAS} SELECT doc_id, blk_order, CAST(sum(CASE WHEN outline_lvl IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY blk_order) AS BIGINT) AS section_no FROM p",
     "a01_heading_parent": f"""
 WITH {_PARAS} SELECT x.doc_id, x.blk_order, max(y.blk_order) AS parent_order FROM p x LEFT JOIN p y
@@ -389,10 +389,10 @@ WITH {_ITEMS}, t AS (SELECT doc_id, self_ref, label,
   last_value(CASE WHEN label IN ('table', 'picture', 'chart') THEN self_ref END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos, self_ref ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_ref,
   first_value(CASE WHEN label IN ('table', 'picture', 'chart') THEN self_ref END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos, self_ref ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after_ref FROM i WHERE pos IS NOT NULL)
 SELECT doc_id, self_ref, before_ref, after_ref FROM t WHERE label = 'caption'""",
-    "p09_referenced": f"WITH {_ITEMS} SELECT doc_id, self_ref, label FROM i WHERE EXISTS (SELECT 1 FROM i j WHERE j.doc_id = i.doc_id AND j.parent = i.self_ref)",
+    "referenced_items": f"WITH {_ITEMS} SELECT doc_id, self_ref, label FROM i WHERE EXISTS (SELECT 1 FROM i j WHERE j.doc_id = i.doc_id AND j.parent = i.self_ref)",
     "a11_dangling": f"WITH {_ITEMS} SELECT doc_id, self_ref, parent FROM i WHERE parent IS NOT NULL AND parent NOT IN ('#/body', '#/furniture') AND NOT EXISTS (SELECT 1 FROM i j WHERE j.doc_id = i.doc_id AND j.self_ref = i.parent)",
-    "p01_usable_pages": f"WITH {_USABLE} SELECT page_no, doc_id, page, source, CAST(length(text) AS INTEGER) AS chars FROM u",
-    "p03_table_titles": """
+    "usable_pages": f"WITH {_USABLE} SELECT page_no, doc_id, page, source, CAST(length(text) AS INTEGER) AS chars FROM u",
+    "asof_title": """
 WITH t AS (SELECT page_no, headings, unnest(tables) AS tbl, generate_subscripts(tables, 1) - 1 AS table_no FROM page_records WHERE tables IS NOT NULL),
 h AS (SELECT page_no, table_no, tbl.bbox[2] AS y, unnest(headings) AS h, generate_subscripts(headings, 1) AS pos FROM t WHERE headings IS NOT NULL),
 b AS (SELECT page_no, table_no, trim(h.text) AS title FROM h WHERE h.bbox[2] < y QUALIFY row_number() OVER (PARTITION BY page_no, table_no ORDER BY h.bbox[2] DESC, pos) = 1)

@@ -194,7 +194,7 @@ def test_word_folder(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[-1]: bool(r.error) for r in docs.collect()} == {"good.docx": False, "bad.docx": True}
     chunks, parents = word.chunked(docs, S)
     got = chunks.collect()
-    assert {r.doc_id for r in got} == {"good"} and {r.source for r in got} == {"docxrag"} and {r.block_type for r in got} == {"text", "table"}
+    assert {r.doc_id for r in got} == {"good"} and {r.source for r in got} == {"word"} and {r.block_type for r in got} == {"text", "table"}
     assert {r.parent_id for r in got} == {r.parent_id for r in parents.collect()}
     assert word.sectioned(docs).count() >= 2
     assert word.as_markdown(docs.where("payload is not null")).first().markdown.startswith("## Intro")
