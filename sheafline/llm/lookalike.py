@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import Scratch
+
 # Letters of the same shape in Latin, Cyrillic and Greek, one shape per
 # column; a dot where a script has no such letter.
 LATIN = "ABCEHIJKMNOPSTXYZaceijopsxyhdqw"
@@ -167,6 +169,7 @@ def found(paras: DataFrame, cells: DataFrame) -> DataFrame:
     """
     forms = normalized(paras, cells).where(F.col("doc_id").isNotNull() & (F.col("form") != ""))
     rows = forms.select("src", "doc_id", F.xxhash64("form").alias("f1"), F.hash("form").alias("f2"), F.substring(F.sha2("text", 256), 1, 24).alias("raw"), "row_no")
+    rows = Scratch(paras.sparkSession, "lookalike").keep(rows, "forms")  # normalised once, read by every join
     key = ["src", "doc_id", "f1", "f2"]
     several = rows.groupBy(*key).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where(_differs("lo", "hi")).select(*key)
     kept = rows.join(several, key)
