@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .config import ChunkSettings
 from .functions import text as T
-from .operators import blocks, hierarchy, linked, pages, paragraphs, shred, structured, word
+from .operators import blocks, hierarchy, linked, pages, paragraphs, shred, structured, tables, word
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -239,6 +239,34 @@ def i03_image_uses(spark: SparkSession, sf: str) -> DataFrame:
     return images.where(F.col("sha256").isNotNull()).groupBy("sha256").agg(F.count("*").alias("n"), F.min("rec_id").alias("first_rec"))
 
 
+def table_rows(spark: SparkSession, sf: str) -> DataFrame:
+    p = _table(spark, sf, "page_records").select("page_no", F.posexplode("tables").alias("table_no", "tbl"))
+    return tables.row_texts(p, ["page_no", "table_no"])
+
+
+def t09_fixed_windows(spark: SparkSession, sf: str) -> DataFrame:
+    d = _table(spark, sf, "documents").where(F.col("text").isNotNull()).select("doc_id", T.split_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(64))
+    return d.select("doc_id", F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("w", i + 1, 64), " "))).alias("window_no", "text"))
+
+
+def a03_captions(spark: SparkSession, sf: str) -> DataFrame:
+    i = blocks.items(_table(spark, sf, "items"))
+    target = i.where(F.col("label").isin("table", "picture", "chart")).select("doc_id", F.col("self_ref").alias("parent"), F.col("label").alias("target_label"))
+    return i.where(F.col("label") == "caption").join(target, ["doc_id", "parent"]).select("doc_id", "self_ref", F.col("parent").alias("target_ref"), "target_label")
+
+
+def a10_furniture(spark: SparkSession, sf: str) -> DataFrame:
+    i = blocks.items(_table(spark, sf, "items")).where(F.col("label").isin("page_header", "page_footer") & F.col("text").isNotNull())
+    return i.select("doc_id", "self_ref", F.when(F.col("text").rlike(r"\d"), "page_footer").otherwise("page_header").alias("by_text"))
+
+
+def h08_hash_state(spark: SparkSession, sf: str) -> DataFrame:
+    c = _table(spark, sf, "hchunks").where(F.col("text").isNotNull())
+    state = F.when(F.col("content_hash").isNull(), "missing").when(F.col("content_hash") == T.content_hash(F.col("text")), "right").otherwise("other")
+    return c.groupBy("kind", state.alias("state")).agg(F.count("*").alias("n"))
+
+
 def a_sectioned_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return word.sectioned(_table(spark, sf, "docling_records"))
 
@@ -254,7 +282,7 @@ QUERIES = {
         p1_found, p1_hierarchy, p1_descendants, p5_found, p5_cells, p5_images, p5_metadata,
         t_tokens, t_norm_hash, t_sentences, s17_binary_hash, x_paragraphs, x10_plain_text, para_dedup, h09_identical, greedy_pack, c03_contents_runs, stable_ids, t11_prefix, h11_prev_next, h12_ranges, common_prefix, quantiles,
         forward_fill, h04_sections, a01_heading_parent, c07_repeated_lines, c12_body_size, c14_shape, c18_levels, a13_roles, a14_extent, k04_dense_grid, k07_markdown_cells, x19_header_rows, c10_nearest, referenced_items, a11_dangling,
-        usable_pages, page_sections, asof_title, c_page_chunks, c_page_parents, b_document_chunks, b_document_parents, diagnostic, i03_image_uses, a_sectioned_chunks, k05_markdown,
+        usable_pages, page_sections, asof_title, c_page_chunks, c_page_parents, b_document_chunks, b_document_parents, diagnostic, i03_image_uses, a_sectioned_chunks, k05_markdown, table_rows, t09_fixed_windows, a03_captions, a10_furniture, h08_hash_state,
     )
 }
 
@@ -397,4 +425,25 @@ WITH t AS (SELECT page_no, headings, unnest(tables) AS tbl, generate_subscripts(
 h AS (SELECT page_no, table_no, tbl.bbox[2] AS y, unnest(headings) AS h, generate_subscripts(headings, 1) AS pos FROM t WHERE headings IS NOT NULL),
 b AS (SELECT page_no, table_no, trim(h.text) AS title FROM h WHERE h.bbox[2] < y QUALIFY row_number() OVER (PARTITION BY page_no, table_no ORDER BY h.bbox[2] DESC, pos) = 1)
 SELECT t.page_no, CAST(t.table_no AS INTEGER) AS table_no, coalesce(b.title, '') AS title FROM t LEFT JOIN b ON b.page_no = t.page_no AND b.table_no = t.table_no""",
+    "table_rows": rf"""
+WITH t AS (SELECT page_no, unnest(tables) AS t, generate_subscripts(tables, 1) - 1 AS table_no FROM page_records WHERE tables IS NOT NULL),
+w AS (SELECT page_no, table_no, coalesce(t.header, []) AS header, coalesce(t.types, []) AS types, t.rows AS rs FROM t
+  WHERE greatest(len(coalesce(t.header, [])), list_max(list_transform(t.rows, lambda r: len(coalesce(r, []))))) >= 2),
+r AS (SELECT page_no, table_no, header, types, unnest(rs) AS cells, generate_subscripts(rs, 1) AS k FROM w),
+h AS (SELECT page_no, table_no, k - 1 AS row_no, CASE WHEN len(types) = 0 THEN 'donnee' ELSE types[k] END AS kind, header,
+  list_filter(list_transform(range(1, len(coalesce(cells, [])) + 1), lambda j: struct_pack(j := j, c := cells[j])), lambda x: x.c IS NOT NULL AND NOT regexp_full_match(x.c, '([\-—|]|{_W})*')) AS held
+  FROM r WHERE len(types) = 0 OR k <= len(types)),
+s AS (SELECT page_no, table_no, row_no, kind, '[' || regexp_replace(held[1].c, '{_STRIP}', '', 'g') || '] ' AS first,
+  array_to_string(list_transform(held, lambda x: coalesce(nullif(header[x.j], ''), 'col' || (x.j - 1)) || ' : ' || regexp_replace(x.c, '{_STRIP}', '', 'g')), ' ; ') AS said FROM h WHERE len(held) > 0),
+c AS (SELECT *, coalesce(last_value(CASE WHEN kind = 'intercalaire' THEN first END IGNORE NULLS) OVER (PARTITION BY page_no, table_no ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS context FROM s)
+SELECT page_no, CAST(table_no AS INTEGER) AS table_no, CAST(row_no AS INTEGER) AS row_no, context || said AS text FROM c WHERE kind IS NULL OR kind <> 'intercalaire'""",
+    "t09_fixed_windows": f"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '{_W}+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT doc_id, w, unnest(range(0, len(w), 64)) AS i FROM w WHERE len(w) > 0)
+SELECT doc_id, CAST(i // 64 AS INTEGER) AS window_no, array_to_string(w[i + 1 : i + 64], ' ') AS text FROM i""",
+    "a03_captions": f"WITH {_ITEMS} SELECT c.doc_id, c.self_ref, c.parent AS target_ref, t.label AS target_label FROM i c JOIN i t ON t.doc_id = c.doc_id AND t.self_ref = c.parent WHERE c.label = 'caption' AND t.label IN ('table', 'picture', 'chart')",
+    "a10_furniture": f"WITH {_ITEMS} SELECT doc_id, self_ref, CASE WHEN regexp_matches(text, '[0-9]') THEN 'page_footer' ELSE 'page_header' END AS by_text FROM i WHERE label IN ('page_header', 'page_footer') AND text IS NOT NULL",
+    "h08_hash_state": f"""
+SELECT kind, CASE WHEN content_hash IS NULL THEN 'missing' WHEN content_hash = sha256({_norm('text')}) THEN 'right' ELSE 'other' END AS state, count(*) AS n
+FROM hchunks WHERE text IS NOT NULL GROUP BY ALL""",
 }

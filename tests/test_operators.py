@@ -216,3 +216,19 @@ def test_sql_parity(spark, name):
     key = lambda rows: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows), key=repr)
     at = [rel.columns.index(c) for c in order]
     assert key([tuple(r[c] for c in order) for r in df.collect()]) == key([tuple(r[i] for i in at) for r in rel.fetchall()])
+
+
+def test_table_rows_equal_the_plain_function(spark):
+    from sheafline.functions.tables import Table
+    from sheafline.operators.tables import row_texts
+
+    cases = [
+        {"header": ["A", None, ""], "rows": [["x", "y", "z"], ["Lot", None, "-"], [None, "v"], [], None, ["—", " ", "|"]], "types": ["donnee", "intercalaire", "donnee", "donnee", "donnee", "donnee"]},
+        {"header": None, "rows": [["a", "b"], ["c"]], "types": None},
+        {"header": ["A"], "rows": [["x"]], "types": []},
+        {"header": ["A", "B"], "rows": [["x", "y"], ["late", "row"]], "types": ["donnee"]},
+        {"header": ["A", "B"], "rows": None, "types": None},
+    ]
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, tbl struct<header: array<string>, rows: array<array<string>>, types: array<string>>")
+    want = sorted((k, i, t) for k, c in enumerate(cases) for i, t in Table.of(c).row_texts())
+    assert values(row_texts(df, ["k"])) == want
