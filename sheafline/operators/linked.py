@@ -16,6 +16,7 @@ from ..config import ChunkSettings
 from ..functions import text as T
 from ..functions.splitting import Counter, child_limit, fixed, recursive, with_overlap
 from ..functions.tables import Table
+from ..shared import Scratch
 
 #: One row per parent (kind p, t, f) or child (kind c); ``parent`` is the parent's ``seq``.
 EMISSION = (
@@ -25,6 +26,20 @@ EMISSION = (
 OTHER_SECTIONS = 20
 
 
+def emission_frame(rows: list[tuple]):
+    """Emissions as a pandas frame with nullable numbers."""
+    import pandas as pd
+
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in EMISSION.split(", ")])
+    for c in ("parent", "page"):
+        frame[c] = frame[c].astype("Int64")
+    return frame
+
+
+#: Emissions gathered before a frame is handed back to Spark.
+FRAME_ROWS = 5_000
+
+
 class Emitter:
     """Collects the emissions of one unit (a page or a document)."""
 
@@ -71,7 +86,11 @@ class Emitter:
 
 
 def link(emissions: DataFrame, settings: ChunkSettings) -> tuple[DataFrame, DataFrame]:
-    """(chunks, parents) from emissions: repeats dropped, identifiers made, childless parents pruned."""
+    """(chunks, parents) from emissions: repeats dropped, identifiers made, childless parents pruned.
+
+    The emissions are written once, so the splitting in Python runs once for both results.
+    """
+    emissions = Scratch(emissions.sparkSession, "linked").keep(emissions, "emissions")
     version = F.lit(settings.ingest_version)
     at = F.struct("doc_order", "seq")
     texts = emissions.where(F.col("kind") == "c").withColumn("norm", F.when(F.lit(settings.dedup) & (F.col("block_type") != "table") & (F.col("n_tokens") >= settings.dedup_min_tokens), F.sha2(T.normalized(F.col("text")), 256)))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..config import ChunkSettings
 from ..functions.splitting import counter, recursive
 from ..functions.tables import Table
-from .linked import EMISSION, Emitter, link
+from .linked import EMISSION, FRAME_ROWS, Emitter, emission_frame, link
 
 PAGE_SCHEMA = (
     "doc_id string, page int, text string, etat string, source string, est_figure boolean, headings array<struct<text: string, bbox: array<double>>>, "
@@ -86,7 +86,6 @@ def emissions(pages: DataFrame, settings: ChunkSettings, order: str = "page_no")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = counter(settings.counter)
-        names = [c.split()[0] for c in EMISSION.split(", ")]
         for batch in batches:
             out: list[tuple] = []
             for r in batch.itertuples(index=False):
@@ -101,10 +100,11 @@ def emissions(pages: DataFrame, settings: ChunkSettings, order: str = "page_no")
                     value = {k: _plain(r.tbl[k]) for k in ("header", "rows", "types")}
                     e.table(Table.of(value), "", r.title, int(r.page), False)
                 out += e.rows
-            frame = pd.DataFrame(out, columns=names)
-            for c in ("parent", "page"):
-                frame[c] = frame[c].astype("Int64")
-            yield frame
+                if len(out) >= FRAME_ROWS:
+                    yield emission_frame(out)
+                    out = []
+            if out:
+                yield emission_frame(out)
 
     return units.mapInPandas(run, EMISSION)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import ChunkSettings
 from ..functions.splitting import counter, fixed, recursive, with_overlap
 from ..functions.structured import TITLE_LABELS, Document, as_table, document_id, plain
-from .linked import EMISSION, OTHER_SECTIONS, Emitter, link
+from .linked import EMISSION, FRAME_ROWS, OTHER_SECTIONS, Emitter, emission_frame, link
 from .shred import parse_object
 
 ARROW = " > "
@@ -167,17 +167,17 @@ def emissions(records: DataFrame, settings: ChunkSettings, *, payload: str = "pa
     rows = records.select(F.col(order).cast("long").alias("ord"), F.col(payload).alias("payload"), (F.col(stem) if stem else F.lit(None).cast("string")).alias("stem"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in EMISSION.split(", ")]
+        out: list[tuple] = []
         for batch in batches:
             for ord_, text, name in zip(batch["ord"].tolist(), batch["payload"].tolist(), batch["stem"].tolist()):
                 doc = parse_object(text)
-                if doc is None or doc.get("schema_name") != "DoclingDocument":
-                    continue
-                frame = pd.DataFrame(Builder(doc, settings, ord_, name).run(), columns=names)
-                for c in ("parent", "page"):
-                    frame[c] = frame[c].astype("Int64")
-                if len(frame):
-                    yield frame
+                if doc is not None and doc.get("schema_name") == "DoclingDocument":
+                    out += Builder(doc, settings, ord_, name).run()
+                if len(out) >= FRAME_ROWS:
+                    yield emission_frame(out)
+                    out = []
+        if out:
+            yield emission_frame(out)
 
     return rows.mapInPandas(run, EMISSION)
 

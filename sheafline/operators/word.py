@@ -71,14 +71,18 @@ def sectioned(records: DataFrame, settings: HierarchySettings = HierarchySetting
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out: list[dict] = []
             for text, given in zip(batch["payload"].tolist(), batch["id"].tolist()):
                 doc = parse_object(text)
                 if doc is None or doc.get("schema_name") != "DoclingDocument":
                     continue
                 sha = (((doc.get("x_docx") or {}).get("document") or {}).get("sha256") or "")[:16]
-                found = Sectioner(doc, settings).chunks(given or sha or document_id(doc))
-                if found:
-                    yield pd.DataFrame(found, columns=names)
+                out += Sectioner(doc, settings).chunks(given or sha or document_id(doc))
+                if len(out) >= 5_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     return rows.mapInPandas(run, _HCHUNK)
 

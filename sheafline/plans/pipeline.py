@@ -16,13 +16,12 @@ from . import sinks
 
 
 def from_pages(spark: SparkSession, path: str, settings: ChunkSettings) -> tuple[DataFrame, DataFrame]:
-    kept = Scratch(spark, "pages").keep(pages.emissions(files.page_records(spark, path), settings), "emissions")
-    return link(kept, settings)
+    return pages.build(files.page_records(spark, path), settings)
 
 
 def from_documents(spark: SparkSession, path: str, settings: ChunkSettings) -> tuple[DataFrame, DataFrame]:
     rows = structured.emissions(files.structured_documents(spark, path), settings, stem="stem")
-    return link(Scratch(spark, "documents").keep(rows, "emissions"), settings)
+    return link(rows, settings)
 
 
 def from_word(spark: SparkSession, path: str, settings: ChunkSettings) -> tuple[DataFrame, DataFrame]:
