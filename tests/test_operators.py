@@ -52,7 +52,7 @@ def brute_tree(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_hierarchy_against_brute_force(spark, seed):
     rng = random.Random(seed)
     rows = []
