@@ -201,18 +201,23 @@ def analyse(records: DataFrame, payload: str = "payload", forced: tuple[str, ...
     return SchemaGraph(tuple(sorted((r.parent, r.child, r.many) for r in rows)), forced)
 
 
-def _entries(value: dict) -> int:
-    """Fields of an object that hold something: null, and lists and objects without content, don't."""
+def _fullness(top: dict) -> dict[int, bool]:
+    """For every object and list of a record (by identity): does it hold anything, however deep?"""
     full: dict[int, bool] = {}
-    todo = [(value, False)]
+    todo: list[tuple] = [(top, False)]
     while todo:
         x, back = todo.pop()
-        inner = list(x.values()) if isinstance(x, dict) else x
+        inner = x.values() if isinstance(x, dict) else x
         if back:
             full[id(x)] = any(full[id(y)] if isinstance(y, (dict, list)) else y is not None for y in inner)
         else:
             todo.append((x, True))
             todo.extend((y, False) for y in inner if isinstance(y, (dict, list)))
+    return full
+
+
+def _entries(value: dict, full: dict[int, bool]) -> int:
+    """Fields of an object that hold something: null, and lists and objects without content, don't."""
     return sum(full[id(y)] if isinstance(y, (dict, list)) else y is not None for y in value.values())
 
 
@@ -231,6 +236,7 @@ def shred_object(top: dict, graph: SchemaGraph) -> Iterator[tuple]:
     metadata or in an entry of the record's sidecar, ``inner`` for anything deeper.
     """
     row_no = 0
+    full = _fullness(top)
     # value, relation type, up relation, up row, field, pos, key, self_ref, parent_ref, place
     todo = [(top, ROOT_TYPE, None, None, None, None, None, None, None, "record")]
     while todo:
@@ -269,7 +275,7 @@ def shred_object(top: dict, graph: SchemaGraph) -> Iterator[tuple]:
                     children.append((x, child_kind, kind, own, child, p, k, ref, parent_ref, where))
                 else:
                     inline.append((x, f"{prefix}{child}_", where))
-        yield (kind, own, up_rel, up_row, name, pos, key, ref, parent_ref, place, _entries(value), cols)
+        yield (kind, own, up_rel, up_row, name, pos, key, ref, parent_ref, place, _entries(value, full), cols)
         todo.extend(reversed(children))
 
 
