@@ -239,6 +239,21 @@ def test_bit_slices_count_exactly():
         assert set(zip(q.tolist(), r.tolist())) == set(zip(*np.nonzero(far <= radius)))
 
 
+def test_no_pair_at_the_threshold_is_lost(spark):
+    """2,000 pairs of similarity exactly 0.6 (30 runs of 50), long, short and many-sized ones beside them."""
+    rows = []
+    for i in range(2000):
+        ws = [f"p{i}w{k}" for k in range(42)]
+        rows += [(2 * i, " ".join(ws), "text", 1), (2 * i + 1, " ".join(ws[:17] + [f"q{i}w{k}" for k in range(8)] + ws[25:]), "text", 1)]
+    assert values(neardup.found(chunk_rows(spark, rows))) == [(2 * i, 2 * i + 1) for i in range(2000)]
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(1500)]
+    texts = [" ".join(edited(rng, base[:n], rng.choice([0, 0.05, 0.1, 0.2]))) for n in (3, 4, 5, 8, 30, 100, 400, 1500) for _ in range(40)]
+    mixed = [(i, t, "text", 1) for i, t in enumerate(texts)]
+    want = set(brute_near(mixed))
+    assert set(values(neardup.found(chunk_rows(spark, mixed)))) == want and len(want) > 500
+
+
 # ---------------------------------------------------------------- packing
 
 
