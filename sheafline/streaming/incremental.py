@@ -1,10 +1,12 @@
 """Incremental chunking: new page records re-chunk only the documents they belong to.
 
 Content-stable identifiers keep unchanged chunks' names, so an index can be updated by
-difference.  State is two Parquet tables, pages and chunks, partitioned by a bucket of
-the document: a micro-batch rewrites only the buckets it meets.  A batch that is
-replayed after a failure gives the same tables, since the latest record of a page
-counts whenever it came.
+difference.  State is three Parquet tables, pages, parents and chunks, partitioned by a
+bucket of the document: a micro-batch rewrites only the buckets it meets.  A batch that
+is replayed after a failure gives the same tables, since the latest record of a page
+counts whenever it came.  Only where document and page are known is a later record a
+redelivery of that page; other records are pages of their own, told apart by page_no,
+as in the batch entry.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import ChunkSettings
 from ..operators import pages as P
 from ..operators.paragraphs import latest
-from ..plans.sinks import CHUNK_FIELDS
+from ..plans.sinks import CHUNK_FIELDS, PARENT_FIELDS
 from ..shared import Scratch
 
 BUCKETS = 64
@@ -34,21 +36,29 @@ def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return like.limit(0)
 
 
+def _own_key():
+    """Null for a known page of a known document, else the record's number."""
+    return F.when((F.col("doc_id") == "unknown") | F.col("page").isNull(), F.col("page_no"))
+
+
 def upsert(batch: DataFrame, base: str, settings: ChunkSettings) -> None:
     """Merge a batch of page records (PAGE_SCHEMA, page_no, received_at) into the tables below ``base``."""
     spark = batch.sparkSession
     scratch = Scratch(spark, "incremental")
-    new = batch.withColumn("doc_id", F.coalesce("doc_id", F.lit("unknown"))).withColumn("page", F.coalesce("page", F.lit(0))).withColumn("bucket", _bucket())
+    new = batch.withColumn("doc_id", F.coalesce("doc_id", F.lit("unknown"))).withColumn("bucket", _bucket())
     new = scratch.keep(new, "new")
     touched = new.select("bucket").distinct()
     old = _stored(spark, f"{base}/pages", new).join(F.broadcast(touched), "bucket", "left_semi")  # at most BUCKETS rows
-    merged = scratch.keep(latest(old.unionByName(new.select(*old.columns)), ["doc_id", "page"], ["received_at", "page_no"]).select(*new.columns), "pages")
+    records = old.unionByName(new.select(*old.columns))
+    merged = scratch.keep(latest(records.withColumn("own_key", _own_key()), ["doc_id", "page", "own_key"], ["received_at", "page_no"]).select(*new.columns), "pages")
     changed = new.select("doc_id").distinct()
-    chunks, _ = P.build(merged.join(changed, "doc_id", "left_semi").drop("bucket"), settings)
-    fresh = chunks.select(*CHUNK_FIELDS).withColumn("bucket", _bucket())
-    kept = _stored(spark, f"{base}/chunks", fresh).join(F.broadcast(touched), "bucket", "left_semi").join(changed, "doc_id", "left_anti")
-    whole = scratch.keep(kept.select(*fresh.columns).unionByName(fresh), "chunks")
-    for name, df in (("pages", merged), ("chunks", whole)):
+    chunks, parents = P.build(merged.join(changed, "doc_id", "left_semi").drop("bucket"), settings)
+    whole = [("pages", merged)]
+    for name, df, fields in (("parents", parents, PARENT_FIELDS), ("chunks", chunks, CHUNK_FIELDS)):
+        fresh = df.select(*fields).withColumn("bucket", _bucket())
+        kept = _stored(spark, f"{base}/{name}", fresh).join(F.broadcast(touched), "bucket", "left_semi").join(changed, "doc_id", "left_anti")
+        whole.append((name, scratch.keep(kept.select(*fresh.columns).unionByName(fresh), name)))
+    for name, df in whole:
         df.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{base}/{name}")
 
 

@@ -1,6 +1,7 @@
 """Sources, sinks, entries, descriptions of pictures, incremental chunking."""
 
 import json
+from datetime import datetime
 
 import docx_maker as D
 from sheafline.config import ChunkSettings, VisionSettings
@@ -101,3 +102,22 @@ def test_incremental_chunking(spark, tmp_path):
     third = deliver("3.json", [("a", 0, "Replaced.", 5, 3)])
     assert "Replaced." in {t for _, t in third.values()} and {k for k, v in first.items() if v[0] == "b"} <= set(third)
     assert not any(v[0] == "a" for k, v in third.items() if k in first)
+
+
+def test_unknown_pages_stay_apart_and_parents_are_kept(spark, tmp_path):
+    base = str(tmp_path / "tables")
+    schema = incremental.P.PAGE_SCHEMA + ", page_no long, received_at timestamp"
+    day = [datetime(2025, 1, d) for d in (1, 2, 3)]
+
+    def page(doc, number, text, page_no, at):
+        return (doc, number, text, None, None, None, None, None, page_no, at)
+
+    first = [page(None, 3, D.text(5, 1), 1, day[0]), page("unknown", 3, D.text(5, 2), 2, day[0]), page("a", None, D.text(5, 3), 3, day[0]), page("a", None, D.text(5, 4), 4, day[0]), page("a", 1, "Old.", 5, day[0])]
+    second = [page(None, 3, D.text(5, 7), 6, day[1]), page("a", 1, "New.", 7, day[1])]
+    for rows in (first, second, second):  # the last is a replay
+        incremental.upsert(spark.createDataFrame(rows, schema), base, S)
+    want, parents = incremental.P.build(spark.createDataFrame([r for r in first + second if r[2] != "Old."], schema), S)
+    got = spark.read.parquet(f"{base}/chunks")
+    assert sorted(r.text for r in got.collect()) == sorted(r.text for r in want.collect())
+    stored = sorted(r.parent_id for r in spark.read.parquet(f"{base}/parents").collect())
+    assert stored == sorted({r.parent_id for r in got.collect()}) and len(stored) == parents.count()
