@@ -33,18 +33,18 @@ def describer(name: str) -> Describer:
 
 
 def occurrences(pictures: DataFrame) -> DataFrame:
-    """sha256, n: how often each image is used."""
-    return pictures.where(F.col("sha256").isNotNull()).groupBy("sha256").agg(F.count("*").alias("n"))
+    """doc_id, sha256, n: at how many places of a document each image is used; redelivered rows are one place."""
+    return pictures.where(F.col("sha256").isNotNull()).groupBy("doc_id", "sha256").agg(F.count_distinct(F.struct("self_ref", "pos")).alias("n"))
 
 
 def eligible(pictures: DataFrame, settings: VisionSettings = VisionSettings()) -> DataFrame:
-    """Pictures worth describing: inside the package, not decoration, not tiny, not repeated like a logo."""
+    """Pictures worth describing: inside the package, not decoration, not tiny, not repeated in its document like a logo."""
     area = F.col("width") * F.col("height")
     fits = F.col("sha256").isNotNull() & F.col("part").isNotNull() & ~F.coalesce("external", F.lit(False)) & (area.isNull() | (area >= settings.min_pixels))
     if settings.skip_decorative:
         fits &= ~F.coalesce("decorative", F.lit(False))
-    rare = occurrences(pictures).where(F.col("n") < settings.skip_repeated_min).select("sha256")
-    return pictures.where(fits).join(rare, "sha256", "left_semi")
+    rare = occurrences(pictures).where(F.col("n") < settings.skip_repeated_min).select(F.col("doc_id").alias("rare_doc"), F.col("sha256").alias("rare_sha"))
+    return pictures.where(fits).join(rare, F.col("doc_id").eqNullSafe(F.col("rare_doc")) & (F.col("sha256") == F.col("rare_sha")), "left_semi")
 
 
 def first_uses(pictures: DataFrame, settings: VisionSettings = VisionSettings()) -> DataFrame:

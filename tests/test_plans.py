@@ -71,6 +71,14 @@ def test_descriptions(spark):
     assert vision.fan_back(pictures, results).where("text is not null").count() == 3
 
 
+def test_logos_are_counted_within_a_document(spark):
+    rows = [(d, "#/pictures/0", 0, "figure") for d in ("a", "b", "c", None)] + [("d", f"#/pictures/{i}", i, "logo") for i in range(3)] + [("e", "#/pictures/0", 0, "logo")]
+    rows += [("f", "#/pictures/0", 0, "again")] * 3  # one place, delivered three times
+    pictures = spark.createDataFrame([(*r, "p", False, False, 100, 100) for r in rows], "doc_id string, self_ref string, pos int, sha256 string, part string, external boolean, decorative boolean, width int, height int")
+    got = {(r.doc_id, r.sha256) for r in vision.eligible(pictures).collect()}
+    assert got == {("a", "figure"), ("b", "figure"), ("c", "figure"), (None, "figure"), ("e", "logo"), ("f", "again")}
+
+
 def test_registry():
     vision.register("local", lambda model: lambda data, context: model)
     assert vision.describer("local:m")(b"", {}) == "m"
