@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.words import WORD
@@ -373,9 +373,10 @@ def _stretches(scorer: Scorer, rows: list[tuple]) -> list[tuple]:
 
 
 def fit_samples(samples: DataFrame, max_samples: int = MAX_SAMPLES) -> KneserNey:
-    """Fit on at most ``max_samples`` labelled rows (lang, text)."""
-    rows = samples.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text").orderBy("lang", "text").limit(max_samples).collect()
-    return fit([(r.lang, r.text) for r in rows])
+    """Fit on at most ``max_samples`` labelled rows (lang, text): the languages take turns, each in the order of a hash of the text."""
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
+    rows = samples.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text", nth.alias("nth")).orderBy("nth", "lang").limit(max_samples).collect()
+    return fit(sorted((r.lang, r.text) for r in rows))
 
 
 def segments(documents: DataFrame, samples: DataFrame) -> DataFrame:

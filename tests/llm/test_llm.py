@@ -366,6 +366,13 @@ def test_held_out_accuracy(samples):
     assert np.mean([scorer.model.languages[k] == lang if k >= 0 else False for k, (lang, _) in zip(best, rows[1::2])]) >= 0.98
 
 
+def test_bounded_fit_keeps_every_language(spark, samples):
+    """Of many labelled rows each language keeps its share; a language with few keeps them all."""
+    rows = [(r.lang, f"{r.text} {k}") for r in samples.collect() for k in range(10 if r.lang != "pt" else 1)]
+    model = language.fit_samples(spark.createDataFrame(rows, "lang string, text string"), max_samples=210)
+    assert set(model.languages) == {lang for lang, _ in rows}
+
+
 def test_probabilities_sum_to_one(samples):
     model = language.KneserNey([(r.lang, r.text) for r in samples.limit(60).collect()], order=3)
     bag = Counter({"pompe": 3, "plan": 2, "ligne": 1})
