@@ -134,17 +134,23 @@ def _objects(value: dict):
                 for k, x in v.items():
                     if isinstance(x, dict):
                         yield name, None, k, x
+                    elif isinstance(x, list):
+                        yield from _listed(name, k, x)
             else:
                 yield name, None, None, v
         elif isinstance(v, list):
-            todo = [(i, x) for i, x in enumerate(v)]
-            for i, x in todo:
-                if isinstance(x, dict):
-                    yield name, i, None, x
-                elif isinstance(x, list):  # a grid: its rows' objects count as entries of the row
-                    for j, y in enumerate(x):
-                        if isinstance(y, dict):
-                            yield f"{name}_row", j, None, y
+            yield from _listed(name, None, v)
+
+
+def _listed(name: str, key: str | None, entries: list):
+    """Every object of a list and of the lists in it, however deep; those of a grid's rows count as entries of the row."""
+    todo = [(name, i, x) for i, x in reversed(list(enumerate(entries)))]
+    while todo:
+        at, i, x = todo.pop()
+        if isinstance(x, dict):
+            yield at, i, key, x
+        elif isinstance(x, list):
+            todo.extend((f"{name}_row", j, y) for j, y in reversed(list(enumerate(x))))
 
 
 @dataclass(frozen=True)

@@ -113,6 +113,16 @@ def test_parts_of_all_layouts(spark):
     assert not shred.parts(df.limit(0)).collect()
 
 
+def test_objects_in_nested_lists_and_listed_maps(spark):
+    doc = record(
+        groups=[[[[{"self_ref": "#/groups/0", "meta": {"a": 1}}], {"self_ref": "#/groups/1"}]]],
+        tables={"#/tables/0": [{"self_ref": "#/tables/0", "cells": [{"text": "x"}]}]},
+        x_docx={"items": {"#/groups/1": [{"alt_text": "b"}]}},
+    )
+    df = spark.createDataFrame([(0, json.dumps(doc))], "rec_id long, payload string")
+    assert values(shred.parts(df)) == [(0, "#/groups/0", "meta", 0), (0, "#/groups/1", "meta", 0), (0, "#/tables/0", "cell", 0)]
+
+
 def test_deep_nesting_and_round_trip():
     deep = '{"a":' * 30_000 + "1" + "}" * 30_000
     assert shred.parse_object(deep) is not None and shred._parse_deep('{"a": [1, {"b": "x\\n"}, [], {}], "c": -1.5e3, "d": null}') == {"a": [1, {"b": "x\n"}, [], {}], "c": -1500.0, "d": None}
