@@ -5,9 +5,12 @@ and (for tables) row ends.  At every gap between atoms two sliding blocks of ato
 are compared by the cosine of their word counts; how far the similarity at a gap
 lies below the peaks on both sides is the gap's depth.  A piece is filled from its
 start; among the gaps in its size window - from ``FILL`` of the limit to the
-limit - the deepest valley ends it, the later one on a tie.  The next piece starts
-``overlap`` atoms earlier, as many of them as leave room for a new one.  An atom
-larger than the limit is cut at blanks, or between any two characters where it has none.
+limit - the deepest valley after which the overlap fits ends it, the later one on a tie.
+The next piece starts ``overlap`` atoms earlier, or as many of them as leave room for a
+new one: fewer where the sentences at every gap of the window are too long for that, and
+never the first atom of the piece before, which would only repeat that piece's start.
+An atom is a sentence; only one larger than the limit is cut at clause marks (overlap
+then counts its clauses), then at blanks, or between any two characters where it has none.
 
 Sizes are counted as code points / 4, rounded up, at least 1.  Pieces are slices of
 the text: every character that isn't white space is in a piece, and pieces without
@@ -38,7 +41,8 @@ BLOCK = 3
 FILL = 0.5
 CHARS_PER_TOKEN = 4
 
-_SENTENCE = re.compile(r"(?<=[.!?;:…])[\"'»”’)\]]*\s+(?=\S)|\n+\s*(?=\S)")
+_SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+(?=\S)|\n+\s*(?=\S)")
+_CLAUSE = re.compile(r"(?<=[.!?;:…])[\"'»”’)\]]*\s+(?=\S)")
 _ROW = re.compile(r"\n+\s*(?=\S)|(?<=[;|])\s*(?=\S)")
 
 
@@ -51,12 +55,14 @@ def atoms(text: str, table: bool, limit: int) -> list[tuple[int, int]]:
     """(start, end) of the atoms, white space after an atom left out; none longer than ``limit`` characters.
 
     A table breaks at line ends; a line that is too long breaks at its field marks.
+    Other texts break at line and sentence ends, which no lower-case letter follows;
+    a sentence that is too long breaks at its clause marks.
     """
     out: list[tuple[int, int]] = []
     pattern = re.compile(r"\n+\s*(?=\S)") if table else _SENTENCE
-    for lo, hi in _between(text, 0, len(text), pattern):
-        if table and hi - lo > limit:
-            parts = list(_between(text, lo, hi, _ROW))
+    for lo, hi in _between(text, 0, len(text), pattern, not table):
+        if hi - lo > limit:
+            parts = list(_between(text, lo, hi, _ROW if table else _CLAUSE))
         else:
             parts = [(lo, hi)]
         for a, b in parts:
@@ -75,12 +81,15 @@ def atoms(text: str, table: bool, limit: int) -> list[tuple[int, int]]:
     return out
 
 
-def _between(text: str, lo: int, hi: int, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+def _between(text: str, lo: int, hi: int, pattern: re.Pattern, whole: bool = False) -> Iterator[tuple[int, int]]:
+    """Stretches between the matches; ``whole`` passes over those within a line before a lower-case letter."""
     while lo < hi and text[lo].isspace():
         lo += 1
     while hi > lo and text[hi - 1].isspace():
         hi -= 1
     for m in pattern.finditer(text, lo, hi):
+        if whole and text[m.end()].islower() and "\n" not in m.group():
+            continue
         end = m.end() - len(m.group()) + len(m.group().rstrip())
         if end > lo and m.end() > lo:
             yield lo, max(end, lo)
@@ -139,11 +148,13 @@ def pieces(text: str, max_tokens: int, overlap: int, table: bool, fill: float =
         while last + 1 < n and parts[last + 1][1] - begin <= limit:
             last += 1
         if last < n - 1:
+            # a cut after which the asked overlap and a new atom fit, if the window has one
+            shares = lambda k: k + 1 - overlap > start and parts[k + 1][1] - parts[k + 1 - overlap][0] <= limit
             best = last
             for k in range(last, fresh - 1, -1):
                 if parts[k][1] - begin < fill * limit:
                     break
-                if deep[k] > deep[best]:
+                if (shares(k), deep[k]) > (shares(best), deep[best]):
                     best = k
             last = best
         out.append((begin, parts[last][1], fresh - start))

@@ -45,6 +45,16 @@ def test_pieces_keep_limit_order_and_overlap():
             assert len(re.findall(r"\.(?= |$)", text[c:b])) == shared if c < b else shared == 0
 
 
+def test_overlap_counts_sentences_not_clauses():
+    """Marks before lower-case letters end no sentence, and a valley that leaves no room for the overlap isn't taken."""
+    text = "".join(f"Step {i}: the pump runs; the valve, e.g. number {i}, stays shut: all is well. " for i in range(60))
+    got = split.pieces(text, 100, 2, False)
+    assert len(got) > 5 and all(shared == 2 for _, _, shared in got[1:])
+    assert all(text[lo:].startswith("Step") and text[:hi].endswith("well.") for lo, hi, _ in got)
+    clauses = "the valve stays shut; " * 40
+    assert all(clauses[lo:hi].endswith(";") for lo, hi, _ in split.pieces(clauses, 30, 0, False))
+
+
 def test_topic_change_is_preferred():
     a, b = "Pumps move water quickly. " * 14, "Invoices list prices clearly. " * 30
     first = split.pieces(a + b, 128, 0, False)[0]
