@@ -245,10 +245,36 @@ def test_bit_slices_count_exactly():
     sketch[50:90] = sketch[:40] ^ (np.uint64(1) << rng.integers(0, 63, (40, 1), dtype=np.uint64))
     far = np.bitwise_count(sketch[:, None, :] ^ sketch[None, :, :]).sum(axis=2)
     for radius in (0, 5, 60, 90):
-        q, r = neardup.within(sketch, neardup.planes(sketch), len(sketch), radius)
+        ask, word = (x.ravel() for x in np.meshgrid(np.arange(200), np.arange(4)))
+        wanted = np.where(word == 3, np.uint64(255), ~np.uint64(0))
+        q, r = neardup.within(sketch, ask, word, wanted, np.full(len(ask), radius))
         assert set(zip(q.tolist(), r.tolist())) == set(zip(*np.nonzero(far <= radius)))
 
 
+def test_buckets_of_all_sizes_meet_only_themselves():
+    rng = np.random.default_rng(3)
+    each = np.array([2, 1, 3, 70, 2, 130, 5])
+    bucket = np.repeat(np.arange(len(each)), each)
+    size = rng.integers(60, 120, len(bucket))
+    order = np.lexsort((size, bucket))
+    size = size[order]
+    most = size + rng.integers(-3, 40, len(size))
+    sketch = rng.integers(0, 2**63, (len(size), neardup.BITS // 64), dtype=np.uint64) & rng.integers(0, 2**63, (len(size), 3), dtype=np.uint64) & rng.integers(0, 2**63, (len(size), 3), dtype=np.uint64)
+    a, b = neardup.bucket_pairs(bucket, np.arange(len(size)), size, most, sketch, np.zeros(len(size), int))
+    want = {
+        (i, j) for i, j in combinations(range(len(size)), 2)
+        if bucket[i] == bucket[j] and size[i] <= most[j] and size[j] <= most[i] and np.bitwise_count(sketch[i] ^ sketch[j]).sum() <= neardup.most_apart(size[i], size[j], 0.6)
+    }
+    assert set(zip(a.tolist(), b.tolist())) == want and len(want) > 20
+
+
+def test_shared_runs_are_counted_exactly():
+    left = ["a b c d e", "", "x y", "a a a a", "A b c, d"]
+    right = ["b c d e f", "a b c", "x y", "a a a", "a b c d"]
+    both, either = neardup.shared_runs(left, right)
+    assert both.tolist() == [2, 0, 0, 1, 2] and either.tolist() == [4, 1, 0, 1, 2]
+
+
 def test_no_pair_at_the_threshold_is_lost(spark):
     """2,000 pairs of similarity exactly 0.6 (30 runs of 50), long, short and many-sized ones beside them."""
     rows = []
