@@ -5,11 +5,16 @@ entries as the capacity.  The configuration linear program over it - cover every
 length's count with as few container patterns as possible - is solved by
 multiplicative weights: a length's price falls exponentially with the share of it
 that is covered, and a knapsack dynamic program over the capacity finds the pattern
-of highest price.  The fractional solution is rounded down, the rest is solved again
-with its own weights, and what no whole pattern covers any more is filled by
-best fit.  The plan (patterns and how often) then assigns the items: an item's rank
-among those of its length, counted per bucket of items so that no length's items
-meet in one task, leads to its pattern, copy and place.
+of highest price among the fullest.  A pricing takes a group of lengths of all
+magnitudes, drawn anew each time, so lengths are exact at any capacity.  The sum of
+the sizes over the capacity bounds the program from below (a length's share of the
+capacity is a feasible dual price), so the uncovered share is the duality gap; it is
+driven below ``GAP`` or as low as full patterns go.  The fractional solution is rounded
+down, and the rest is solved again until no full pattern is found in it.  Only what is
+left then, and fills no container, goes to best fit.  The plan (patterns and how
+often) then assigns the items: an item's rank among those of its length, counted per
+bucket of items so that no length's items meet in one task, leads to its pattern,
+copy and place.
 
 Lengths are tokens of a public tokenizer, whose file is a parameter.  A text's tokens
 are counted over its pieces between blanks, which the tokenizer's pattern never
@@ -36,20 +41,18 @@ from pyspark.sql import functions as F
 
 from ..shared import Scratch
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The pattern that splits text before the merges of the rank files (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Items are ranked within so many buckets, each of them one task's sort at most.
 BUCKETS = 1024
-#: Rounds of the linear program, and patterns priced in each.
-ROUNDS, PATTERNS = 6, 160
-#: Steps of the knapsack's capacity; lengths are rounded up to one where the capacity is larger.
-GRID = 2048
-ETA = 6.0
+#: Cells of a pricing's table, which decide how many lengths it takes, and fewest lengths it takes.
+CELLS, LEAST = 1 << 18, 96
+#: Duality gap at which a solution is rounded, and share of all sizes that may be left to best fit then.
+GAP, REST = 0.01, 0.01
+#: Fall of a price with the share covered, and share of a pattern's possible number that is used at once.
+ETA, STEP = 1.0, 0.5
 #: A length's first price is its share of the capacity to this power: large items first.
-GAIN = 1.15
-#: Least filling of a pattern that is used before the last round.
-FULL = 0.998
+GAIN = 1.5
 MEMORY = 300_000
 
 _CUT = re.compile(r" (?=\S)")
@@ -84,7 +87,7 @@ class TokenCounts(dict):
         return (self[first] if first else 0) + sum(map(self.__getitem__, [" " + w for w in rest]))
 
 
-def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def token_counts(documents: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens of every text with tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,102 +100,101 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_tokens int").where(F.col("n_tokens") > 0)
 
 
-def best_pattern(price: np.ndarray, size: np.ndarray, capacity: int) -> np.ndarray:
-    """Unbounded knapsack by dynamic programming over the capacity: how many of each size."""
-    value = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1, np.int64)
-    order = np.argsort(size, kind="stable")
-    s, p = size[order], price[order]
-    fits = np.searchsorted(s, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        k = fits[c]
-        value[c] = value[c - 1]
-        if k:
-            got = value[c - s[:k]] + p[:k]
-            j = int(got.argmax())
-            if got[j] > value[c]:
-                value[c], choice[c] = got[j], order[j]
+def best_pattern(price: np.ndarray, size: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
+    """How many of each size, at most ``most``: the highest price among the fullest patterns.
+
+    Knapsack by dynamic programming over the capacity; a size's number is split into
+    powers of two, each of which is taken or not.
+    """
+    number = np.minimum(most, capacity // size)
+    parts: list[tuple[int, int]] = []
+    for j, n in enumerate(number.tolist()):
+        k = 1
+        while n > 0:
+            parts.append((j, min(k, n)))
+            n, k = n - k, 2 * k
+    value = np.full(capacity + 1, -np.inf)
+    value[0] = 0.0
+    taken = np.zeros((len(parts), capacity + 1), bool)
+    for i, (j, k) in enumerate(parts):
+        w = int(size[j]) * k
+        if w <= capacity:
+            got = value[: capacity + 1 - w] + price[j] * k
+            np.greater(got, value[w:], out=taken[i, w:])
+            np.maximum(value[w:], got, out=value[w:])
+    c = int(np.flatnonzero(value > -np.inf)[-1])
     count = np.zeros(len(size), np.int64)
-    c = capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-        else:
-            count[choice[c]] += 1
-            c -= int(size[choice[c]])
+    for i in range(len(parts) - 1, -1, -1):
+        if taken[i, c]:
+            j, k = parts[i]
+            count[j] += k
+            c -= int(size[j]) * k
     return count
 
 
-def _bounded(count: np.ndarray, left: np.ndarray, size: np.ndarray, capacity: int) -> np.ndarray:
-    """Cut a pattern to what is left and use the room freed for the largest that still fit."""
-    count = np.minimum(count, left)
-    room = capacity - int((count * size).sum())
-    while room > 0:
-        j = int(np.searchsorted(size, room, side="right")) - 1
-        while j >= 0 and count[j] >= left[j]:
-            j -= 1
-        if j < 0:
-            break
-        n = min(left[j] - count[j], room // size[j])
-        count[j] += n
-        room -= int(n * size[j])
-    return count
-
+def fractional(size: np.ndarray, left: np.ndarray, capacity: int, rng: np.random.Generator, group: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(indices, counts, how often) of each pattern used: full patterns by multiplicative weights on the covering program.
 
-def fractional(size: np.ndarray, left: np.ndarray, capacity: int, patterns: int = PATTERNS) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often each is used: multiplicative weights on the covering program."""
-    grid = max(1, -(-capacity // GRID))
-    units = -(-size // grid)
-    unit_capacity = max(int(units.max()), capacity // grid)
-    covered = np.zeros(len(size))
+    Nothing is covered beyond its need, so the patterns' number exceeds the dual bound by
+    no more than what stays uncovered.
+    """
     need = left.astype(float)
+    covered = np.zeros(len(size))
     base = (size / capacity) ** GAIN
-    out: list[tuple[np.ndarray, float]] = []
-    for _ in range(patterns):
-        share = np.minimum(covered / need, 4.0)
-        price = base * np.exp(-ETA * share)
-        # what is covered already still fills room, at next to no price
-        count = best_pattern(price + 1e-7 * base, units, unit_capacity)
-        count = _bounded(count, left, size, capacity)
-        used = count > 0
-        step = float((need[used] / count[used]).min()) * 0.5
-        out.append((count, step))
-        covered += count * step
-        if (covered >= need).all():
-            break
+    total = float((need * size).sum())
+    open_ = total
+    out: list[tuple[np.ndarray, np.ndarray, float]] = []
+    progress = True
+    while progress and open_ > GAP * total:
+        progress = False
+        # groups of all magnitudes: neighbours in size go to different ones
+        live = np.flatnonzero(need - covered >= 1)
+        groups = max(1, -(-len(live) // group))
+        drawn = rng.permuted(np.resize(np.arange(groups), (-(-len(live) // groups), groups)), axis=1).ravel()[: len(live)]
+        for g in range(groups):
+            mine = live[drawn == g]
+            most = np.floor(need[mine] - covered[mine] + 1e-9).astype(np.int64)
+            price = base[mine] * np.exp(-ETA * covered[mine] / need[mine])
+            count = best_pattern(price, size[mine], most, capacity)
+            if int((count * size[mine]).sum()) < capacity:
+                continue
+            used = count > 0
+            often = float((most[used] // count[used]).min())
+            # a full step only where little is open: prices must follow what is covered
+            step = max(1.0, often * STEP if open_ > 0.1 * total else often)
+            out.append((mine[used], count[used], step))
+            covered[mine[used]] += count[used] * step
+            open_ -= capacity * step
+            progress = True
     return out
 
 
-def plan(size: np.ndarray, number: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """(counts per size, copies): patterns that hold exactly the given numbers of sizes (ascending, at most capacity)."""
+def plan(size: np.ndarray, number: np.ndarray, capacity: int) -> tuple[list[tuple[np.ndarray, np.ndarray, int]], int]:
+    """([(indices of sizes, counts, copies)], how many of the patterns come from the program).
+
+    The patterns hold exactly the given numbers of sizes (ascending, at most the capacity).
+    """
     left = number.astype(np.int64).copy()
-    out: list[tuple[np.ndarray, int]] = []
-    for _ in range(ROUNDS):
+    rng = np.random.default_rng(7)
+    out: list[tuple[np.ndarray, np.ndarray, int]] = []
+    group = max(LEAST, CELLS // capacity)
+    while True:
         live = np.flatnonzero(left)
-        if not len(live):
-            break
-        found = fractional(size[live], left[live], capacity)
-        # fullest first; those that leave room wait for the next round's prices
-        fill = [float((c * size[live]).sum()) / capacity for c, _ in found]
-        before = int(left.sum())
-        for k in np.argsort([-f for f in fill], kind="stable"):
-            count, times = found[k]
-            used = count > 0
-            n = int(min(times, (left[live][used] // count[used]).min())) if fill[k] >= FULL else 0
-            if n > 0:
-                whole = np.zeros(len(size), np.int64)
-                whole[live] = count
-                out.append((whole, n))
-                left -= whole * n
-        if left.sum() > 0.97 * before:  # too few of a length to use any pattern twice
-            break
-    return out + best_fit(size, left, capacity)
-
-
-def best_fit(size: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+        found = fractional(size[live], left[live], capacity, rng, group) if (left * size).sum() > REST * (number * size).sum() else []
+        if not found:
+            if group >= len(live) or (left * size).sum() <= REST * (number * size).sum():
+                break
+            group = len(live)  # no group fills a container: all lengths together
+        for at, count, often in found:
+            out.append((live[at], count, int(often)))
+            left[live[at]] -= count * int(often)
+    return out + best_fit(size, left, capacity), len(out)
+
+
+def best_fit(size: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """Containers for what is left: the largest item opens one, the fullest filling of its room follows."""
     left = left.copy()
-    out: list[tuple[np.ndarray, int]] = []
+    out: list[tuple[np.ndarray, np.ndarray, int]] = []
     while left.any():
         top = int(np.flatnonzero(left)[-1])
         count = np.zeros(len(size), np.int64)
@@ -202,7 +204,7 @@ def best_fit(size: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np
         count += _fullest(size, rest, capacity - int(size[top]))
         used = count > 0
         n = int((left[used] // count[used]).min())
-        out.append((count, n))
+        out.append((np.flatnonzero(used), count[used], n))
         left -= count * n
     return out
 
@@ -245,19 +247,22 @@ class Assignment:
         self.per: list[int] = []
         self.base: list[int] = []
         self.sizes: list[np.ndarray] = []
+        #: Per capacity, the first container that best fit made.
+        self.rest: list[int] = []
 
-    def add(self, size: np.ndarray, patterns: list[tuple[np.ndarray, int]]) -> int:
-        """Patterns of one more capacity; returns the number of containers."""
+    def add(self, size: np.ndarray, patterns: list[tuple[np.ndarray, np.ndarray, int]], programmed: int) -> int:
+        """Patterns of one more capacity, ``programmed`` of them from the program; returns the number of containers."""
         number = len(self.sizes)
         self.sizes.append(size)
         start = np.zeros(len(size), np.int64)
         base = 0
-        for count, copies in patterns:
-            for j in np.flatnonzero(count):
-                self.keys.append(self._key(number, int(j), int(start[j])))
-                self.per.append(int(count[j]))
+        self.rest.append(sum(copies for _, _, copies in patterns[:programmed]))
+        for at, count, copies in patterns:
+            for j, n in zip(at.tolist(), count.tolist()):
+                self.keys.append(self._key(number, j, int(start[j])))
+                self.per.append(n)
                 self.base.append(base)
-                start[j] += int(count[j]) * copies
+                start[j] += n * copies
             base += copies
         return base
 
@@ -284,7 +289,7 @@ class Assignment:
         return out
 
 
-_PACKED = "capacity_id int, container_no long, doc_id long, piece_no int, pieces int, start_token int, end_token int, n_tokens int"
+_PACKED = "capacity_id int, container_no long, doc_id long, piece_no int, pieces int, start_token int, end_token int, n_tokens int, made_by string"
 
 
 def _assign_batches(assignment: Assignment):
@@ -292,14 +297,20 @@ def _assign_batches(assignment: Assignment):
         for b in batches:
             col = {n: np.asarray(b.column(k)) for k, n in enumerate(b.schema.names)}
             container = assignment.containers(col["number"], col["size"].astype(np.int64), col["rank"].astype(np.int64))
-            kept = ["capacity_id", "doc_id", "piece_no", "pieces", "start_token", "end_token", "n_tokens"]
-            yield pa.RecordBatch.from_arrays([b.column("capacity_id"), pa.array(container), *(b.column(c) for c in kept[1:])], names=["capacity_id", "container_no", *kept[1:]])
+            kept = ["doc_id", "piece_no", "pieces", "start_token", "end_token", "n_tokens"]
+            rest = np.array(assignment.rest)[col["number"]]
+            made = np.where(container >= rest, "best fit", np.where(col["whole"], "whole", "program"))
+            yield pa.RecordBatch.from_arrays([b.column("capacity_id"), pa.array(container), *(b.column(c) for c in kept), pa.array(made.tolist(), pa.string())], names=["capacity_id", "container_no", *kept, "made_by"])
 
     return run
 
 
-def packed(documents: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Every text, or piece of a text beyond the capacity, with its container, for each capacity."""
+def packed(documents: DataFrame, capacities: DataFrame, tokenizer: str) -> DataFrame:
+    """Every text, or piece of a text beyond the capacity, with its container, for each capacity.
+
+    made_by: ``whole`` for a container filled by one item, ``program`` for another pattern of
+    the linear program, ``best fit`` for the rest.
+    """
     spark = documents.sparkSession
     scratch = Scratch(spark, "packing")
     caps = [(r.capacity_id, r.capacity_tokens, max(0, r.separator_tokens or 0)) for r in capacities.select("capacity_id", "capacity_tokens", "separator_tokens").where(F.col("capacity_tokens") > 0).distinct().orderBy("capacity_id", "capacity_tokens").collect()]
@@ -311,8 +322,8 @@ def packed(documents: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZ
     pieces = F.ceil(F.col("all_tokens") / F.col("capacity")).cast("int")
     cut = each.select("*", pieces.alias("pieces"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece_no"))
     start = F.col("piece_no") * F.col("capacity")
-    items = cut.select("number", "capacity_id", "doc_id", "piece_no", "pieces", "separator", start.alias("start_token"), F.least(start + F.col("capacity"), F.col("all_tokens")).alias("end_token")).withColumn("n_tokens", F.col("end_token") - F.col("start_token"))
-    items = items.withColumn("size", F.col("n_tokens") + F.col("separator")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(BUCKETS)).cast("int"))
+    items = cut.select("number", "capacity_id", "capacity", "doc_id", "piece_no", "pieces", "separator", start.alias("start_token"), F.least(start + F.col("capacity"), F.col("all_tokens")).alias("end_token")).withColumn("n_tokens", F.col("end_token") - F.col("start_token"))
+    items = items.withColumn("size", F.col("n_tokens") + F.col("separator")).withColumn("whole", F.col("n_tokens") == F.col("capacity")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(BUCKETS)).cast("int"))
 
     # at most one row per capacity and length reaches the driver: no more than the capacities' sum
     histogram = items.groupBy("number", "size").agg(F.count("*").alias("n")).collect()
@@ -320,7 +331,7 @@ def packed(documents: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZ
     for k, (_, capacity, separator) in enumerate(caps):
         rows = sorted((r["size"], r["n"]) for r in histogram if r["number"] == k)
         size, number = np.array([s for s, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
-        assignment.add(size, plan(size, number, capacity + separator))
+        assignment.add(size, *plan(size, number, capacity + separator))
     assignment.close()
 
     # ranks within a length: buckets first, then the rows of a bucket
@@ -330,13 +341,14 @@ def packed(documents: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZ
     per = items.groupBy(*key, "bucket").agg(F.count("*").alias("n"))
     before = per.select(*key, "bucket", (F.sum("n").over(Window.partitionBy(*key).orderBy("bucket")) - F.col("n")).alias("before"))
     local = items.withColumn("nth", F.row_number().over(Window.partitionBy(*key, "bucket").orderBy("doc_id", "piece_no")) - 1)
-    ranked = local.join(before, [*key, "bucket"]).select("number", "capacity_id", "doc_id", "piece_no", "pieces", "start_token", "end_token", "n_tokens", "size", (F.col("before") + F.col("nth")).alias("rank"))
+    ranked = local.join(before, [*key, "bucket"]).select("number", "capacity_id", "doc_id", "piece_no", "pieces", "start_token", "end_token", "n_tokens", "size", "whole", (F.col("before") + F.col("nth")).alias("rank"))
     return ranked.mapInArrow(_assign_batches(assignment), _PACKED)
 
 
-def fill_report(documents: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """capacity_id, containers, tokens, split_texts, least_containers (a bound no packing beats)."""
+def fill_report(documents: DataFrame, capacities: DataFrame, tokenizer: str) -> DataFrame:
+    """capacity_id, containers, of these whole, program and best_fit, tokens, split_texts, least_containers (a bound no packing beats)."""
     rows = packed(documents, capacities, tokenizer).join(capacities.select("capacity_id", "capacity_tokens", "separator_tokens"), "capacity_id")
-    per = rows.groupBy("capacity_id", "container_no", "capacity_tokens", "separator_tokens").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.sum(F.when((F.col("piece_no") == 0) & (F.col("pieces") > 1), 1).otherwise(0)).alias("split"))
+    per = rows.groupBy("capacity_id", "container_no", "capacity_tokens", "separator_tokens").agg(F.first("made_by").alias("made_by"), F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.sum(F.when((F.col("piece_no") == 0) & (F.col("pieces") > 1), 1).otherwise(0)).alias("split"))
     least = F.ceil((F.sum("t") + F.sum("n") * F.first("separator_tokens")) / (F.first("capacity_tokens") + F.first("separator_tokens")))
-    return per.groupBy("capacity_id").agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.sum("split").alias("split_texts"), least.cast("long").alias("least_containers"))
+    made = [F.count_if(F.col("made_by") == k).alias(k.replace(" ", "_")) for k in ("whole", "program", "best fit")]
+    return per.groupBy("capacity_id").agg(F.count("*").alias("containers"), *made, F.sum("t").alias("tokens"), F.sum("split").alias("split_texts"), least.cast("long").alias("least_containers"))

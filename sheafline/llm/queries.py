@@ -43,12 +43,17 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.groups(_table(spark, sf, "hchunks"))
 
 
+def _tokenizer(spark: SparkSession) -> str:
+    """The tokenizer's file: a parameter of the session, by default a public one."""
+    return spark.conf.get("spark.sheafline.tokenizer", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
+
 def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.packed(_table(spark, sf, "documents"), _table(spark, sf, "pack_capacities"))
+    return packing.packed(_table(spark, sf, "documents"), _table(spark, sf, "pack_capacities"), _tokenizer(spark))
 
 
 def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.fill_report(_table(spark, sf, "documents"), _table(spark, sf, "pack_capacities"))
+    return packing.fill_report(_table(spark, sf, "documents"), _table(spark, sf, "pack_capacities"), _tokenizer(spark))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:

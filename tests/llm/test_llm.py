@@ -3,7 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -293,8 +293,11 @@ def test_no_pair_at_the_threshold_is_lost(spark):
 # ---------------------------------------------------------------- packing
 
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
 def test_token_counts_equal_the_whole_encoding():
-    counts = packing.TokenCounts(packing.TOKENIZER)
+    counts = packing.TokenCounts(TOKENIZER)
     for t in ("", "a", " a  b", "L'été\n\n  1.5 kg…", "x" * 300, "a \n b\t c ", "don't 'stop"):
         assert counts.of(t) == len(counts.encode(t))
 
@@ -302,7 +305,7 @@ def test_token_counts_equal_the_whole_encoding():
 @settings(max_examples=40, deadline=None)
 @given(st.text(alphabet="ab' 1.\n\té…", max_size=60))
 def test_token_counts_property(text):
-    counts = packing.TokenCounts(packing.TOKENIZER)
+    counts = packing.TokenCounts(TOKENIZER)
     assert counts.of(text) == len(counts.encode(text))
 
 
@@ -311,12 +314,29 @@ def test_plan_is_complete_and_tight():
     for capacity in (100, 513):
         items = np.clip(rng.lognormal(4, 0.8, 3000).astype(int), 1, capacity)
         size, number = np.unique(items, return_counts=True)
-        plan = packing.plan(size, number, capacity)
-        assert (sum(c * n for c, n in plan) == number).all() and all((c * size).sum() <= capacity for c, _ in plan)
-        used = sum(n for _, n in plan)
+        plan, programmed = packing.plan(size, number, capacity)
+        held = np.zeros(len(size), np.int64)
+        for at, count, copies in plan:
+            assert (count > 0).all() and (count * size[at]).sum() <= capacity
+            held[at] += count * copies
+        assert (held == number).all()
+        used = sum(n for _, _, n in plan)
+        assert sum(n for _, _, n in plan[:programmed]) >= 0.9 * used
         least = max(-(-items.sum() // capacity), (items > capacity / 2).sum())
-        assert used <= 1.02 * least + 1
-    assert packing.plan(np.empty(0, np.int64), np.empty(0, np.int64), 10) == []
+        assert used <= 1.005 * least + 1
+    assert packing.plan(np.empty(0, np.int64), np.empty(0, np.int64), 10) == ([], 0)
+
+
+def test_the_knapsack_is_exact():
+    """Against all choices: the fullest patterns come first, the highest price decides among them."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        n, capacity = int(rng.integers(1, 5)), int(rng.integers(1, 40))
+        size, most, price = rng.choice(np.arange(1, 30), n, replace=False), rng.integers(0, 4, n), rng.random(n)
+        got = packing.best_pattern(price, size, most, capacity)
+        options = [c for c in product(*(range(m + 1) for m in most)) if np.dot(c, size) <= capacity]
+        best = max((int(np.dot(c, size)), float(np.dot(c, price))) for c in options)
+        assert (got <= most).all() and int(got @ size) == best[0] and abs(float(got @ price) - best[1]) < 1e-9
 
 
 def test_packing_edge_cases(spark):
@@ -324,8 +344,8 @@ def test_packing_edge_cases(spark):
     docs = [(i, "word " * rng.randint(1, 300)) for i in range(300)] + [(900, None), (901, ""), (902, "word " * 5000), (5, "word word"), (5, "word word"), (None, "word")]
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, size int")
     caps = spark.createDataFrame([(1, 256, 1), (2, 1000, None), (3, None, 1), (4, 0, 1)], "capacity_id int, capacity_tokens int, separator_tokens int")
-    rows = packing.packed(df, caps).collect()
-    counts = packing.TokenCounts(packing.TOKENIZER)
+    rows = packing.packed(df, caps, TOKENIZER).collect()
+    counts = packing.TokenCounts(TOKENIZER)
     for capacity_id, capacity, sep in ((1, 256, 1), (2, 1000, 0)):
         held = defaultdict(list)
         per_doc = Counter()
@@ -342,7 +362,7 @@ def test_packing_edge_cases(spark):
         assert per_doc == want
         assert sorted(held) == list(range(len(held)))
     assert {r.capacity_id for r in rows} == {1, 2}
-    assert not packing.packed(df.limit(0), caps).collect() and not packing.packed(df, caps.limit(0)).collect()
+    assert not packing.packed(df.limit(0), caps, TOKENIZER).collect() and not packing.packed(df, caps.limit(0), TOKENIZER).collect()
 
 
 # ---------------------------------------------------------------- leaks
