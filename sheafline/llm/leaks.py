@@ -1,8 +1,9 @@
 """Evaluation texts leaking into training text (problem 8).
 
-Method.  The test items form an inverted index with BM25 weights; its terms are
-``TERM`` consecutive words, which tell passages apart far better than single words do
-where everybody uses the same ones.  Items are held in blocks, and for every term each block keeps the largest weight of its items.  Every
+Method.  The test items form an inverted index with BM25 weights: for every term the
+items that hold it and their weights, and the blocks of items that hold it and each
+block's largest weight.  Terms are ``TERM`` consecutive words, which tell passages apart
+far better than single words do where everybody uses the same ones.  Every
 document is cut into overlapping passages of ``PASSAGE`` words, and every passage
 queries the index: the sum of its terms' block maxima bounds the score of every item
 of a block, so blocks whose bound stays below their lowest threshold are skipped
@@ -10,15 +11,17 @@ of a block, so blocks whose bound stays below their lowest threshold are skipped
 blocks together); the items of the others are
 scored, and all at or above their threshold are retrieved.  An item's threshold is
 the lowest score that any ``RUN`` consecutive words of it (all words of a shorter
-item) can have, and passages overlap by ``RUN`` - 1 words, so no leak is lost.
+item) can have, and passages overlap by ``RUN`` - 1 words, so no leak is lost.  Items
+of fewer than ``TERM`` words hold no term; they are looked up as a whole.
 Retrieved items are verified on the words themselves: runs of ``RUN`` words that
 passage and item share, joined to the longest run, and the shares of the item's
 question and answer that the document covers.
 
-The items are fitted into the closure of the tasks after their number and size have
-been checked (``MAX_ITEMS``, ``MAX_WORDS``); beyond that the items are processed in
-groups of this size, one pass over the documents each.  Documents are neither
-shuffled nor cut to prefixes.
+The index grows with the items' words, not with their number times that of the terms
+(about 60 bytes a word); it is broadcast after its words have been counted and found
+within ``MAX_WORDS`` and ``MAX_VOCABULARY``.  More items are processed in groups of that
+size, one pass over the documents each.  Documents are neither shuffled nor cut to
+prefixes.
 
 Defined results: null and wordless texts have no leaks; null or wordless items leak
 nowhere; equal items leak alike; a repeated doc_id is reported once per item.
@@ -30,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +44,8 @@ TERM = 3
 PASSAGE = 32
 BLOCK = 16
 K1, B = 1.2, 0.75
-MAX_ITEMS, MAX_WORDS = 4096, 2_000_000
+#: Words and distinct words of the items in one index (about 240 MB; term keys of distinct words fit 63 bits).
+MAX_WORDS, MAX_VOCABULARY = 4_000_000, 2_000_000
 #: Words handled at once; bounds the arrays of a task.
 SLICE = 60_000
 
@@ -50,50 +55,88 @@ class _Codes(dict):
         return 0
 
 
+def _expand(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the rows, place) of every entry of these rows of a table in compressed form."""
+    size = offsets[rows + 1] - offsets[rows]
+    nth = np.repeat(np.arange(len(rows)), size)
+    return nth, offsets[rows][nth] + np.arange(len(nth)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _offsets(row: np.ndarray, rows: int) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
+
+
 class ItemIndex:
-    """BM25 weights of a group of test items in blocks, with block maxima and thresholds."""
+    """Inverted index of a group of test items: BM25 postings, block maxima and thresholds."""
 
     def __init__(self, items: list[tuple[int, str]], run: int = RUN) -> None:
-        kept = [(i, w) for i, w in ((i, words(t)) for i, t in items) if w]
+        kept = [(i, t, w) for i, t, w in ((i, t, words(t)) for i, t in items) if w]
         self.run = run
-        self.vocabulary = {t: k + 1 for k, t in enumerate(sorted({t for _, w in kept for t in w}))}  # 0: a word of no item
+        self.vocabulary = {t: k + 1 for k, t in enumerate(sorted({t for _, _, w in kept for t in w}))}  # 0: a word of no item
         self.span = len(self.vocabulary) + 1
-        codes = [np.array([self.vocabulary[t] for t in w], dtype=np.int64) for _, w in kept]
+        codes = [np.array([self.vocabulary[t] for t in w], dtype=np.int64) for _, _, w in kept]
         pairs = [_term_keys(c, self.span) for c in codes]
         self.keys, df = np.unique(np.concatenate([np.unique(p) for p in pairs] or [np.empty(0, np.int64)]), return_counts=True)
-        terms = [np.searchsorted(self.keys, p) + 1 for p in pairs]  # 0: a term of no item
+        terms = [np.searchsorted(self.keys, p) for p in pairs]
         # items of like vocabulary share blocks: they lie in order of their rarest term
-        rarest = [int(min(t, key=lambda x: (df[x - 1], x))) if len(t) else 0 for t in terms]
+        rarest = [int(t[np.lexsort((t, df[t]))[0]]) if len(t) else -1 for t in terms]
         order = sorted(range(len(kept)), key=lambda k: (rarest[k], kept[k][0]))
         self.ids = [kept[k][0] for k in order]
-        self.words = [kept[k][1] for k in order]
-        self.codes = [codes[k] for k in order]
-        terms = [terms[k] for k in order]
+        self.question = [_question_words(kept[k][1]) for k in order]
+        codes, terms = [codes[k] for k in order], [terms[k] for k in order]
         n = len(order)
-        self.n_blocks = (n + BLOCK - 1) // BLOCK
-        mean = sum(map(len, terms)) / max(1, n) or 1
-        weight = np.zeros((len(df) + 1, self.n_blocks * BLOCK), np.float32)
+        self.length = np.array([min(run, len(c)) for c in codes], dtype=np.int64)
+        self.codes, self.code_at = np.concatenate([*codes, np.empty(0, np.int64)]).astype(np.int32), np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int64)
+        # postings by term: the items that hold it and their weights
+        held = np.array([len(t) for t in terms], dtype=np.int64)
+        item = np.repeat(np.arange(n), held)
+        flat = np.concatenate([*terms, np.empty(0, np.int64)]).astype(np.int64)
+        both, times = np.unique(flat * max(n, 1) + item, return_counts=True)
+        term, self.item = both // max(n, 1), (both % max(n, 1)).astype(np.int32)
+        self.at = _offsets(term, len(df))
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        self.length = np.array([min(run, len(w)) for w in self.words], dtype=np.int64)
-        threshold = np.full(self.n_blocks * BLOCK, np.inf, np.float32)
-        for k, t in enumerate(terms):
-            once, c = np.unique(t, return_counts=True)
-            if len(once):
-                weight[once, k] = idf[once - 1] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(t) / mean))
-            # a passage's repeated terms add up, so a run's own sum bounds its passage's score from below
+        mean = held.mean() if n and held.any() else 1.0
+        self.weight = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * held[self.item] / mean))
+        # a run's own sum bounds the score of a passage that holds it from below: a passage's repeated terms add up
+        self.threshold = np.full(n, np.inf)
+        each = self.weight[np.searchsorted(both, flat * max(n, 1) + item)]
+        start = np.cumsum(held) - held
+        for k in np.flatnonzero(held):
             m = int(self.length[k]) - TERM + 1
-            threshold[k] = np.convolve(weight[t, k].astype(np.float64), np.ones(m), "valid").min() * (1 - 1e-4) - 1e-4 if m > 0 else -1
-        self.weight = weight
-        self.maxima = weight.reshape(len(df) + 1, self.n_blocks, BLOCK).max(axis=2)
-        self.threshold = threshold
-        self.tops = self.maxima.max(axis=1) if n else np.zeros(len(df) + 1, np.float32)
-        self.block_threshold = threshold.reshape(self.n_blocks, BLOCK).min(axis=1)
-        self.grams: list[dict[int, list[int]]] = []
-        for c, m in zip(self.codes, self.length):
-            at: dict[int, list[int]] = {}
-            for i, h in enumerate(_gram_hashes(c, int(m)).tolist()):
-                at.setdefault(h, []).append(i)
-            self.grams.append(at)
+            sums = np.concatenate([[0.0], np.cumsum(each[start[k] : start[k] + held[k]])])
+            self.threshold[k] = (sums[m:] - sums[:-m]).min() * (1 - 1e-9) - 1e-6
+        # block maxima by term
+        n_blocks = -(-n // BLOCK)
+        where, first = np.unique(term * max(n_blocks, 1) + self.item // BLOCK, return_index=True)
+        self.block = (where % max(n_blocks, 1)).astype(np.int32)
+        self.block_at = _offsets(where // max(n_blocks, 1), len(df))
+        self.maxima = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
+        self.tops = np.concatenate([[0.0], np.maximum.reduceat(self.maxima, self.block_at[:-1]) if len(df) else []])
+        self.block_threshold = np.minimum.reduceat(self.threshold, np.arange(0, n, BLOCK)) if n else np.empty(0)
+        # every item's runs, sorted within the item; short items' runs over all items
+        hashes = [_gram_hashes(c, int(m)) for c, m in zip(codes, self.length)]
+        place = [np.argsort(h, kind="stable") for h in hashes]
+        self.gram = np.concatenate([*(h[p] for h, p in zip(hashes, place)), np.empty(0, np.uint64)]).astype(np.uint64)
+        self.gram_place = np.concatenate([*place, np.empty(0, np.int64)]).astype(np.int32)
+        self.gram_at = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int64)
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for m in range(1, TERM):
+            mine = np.flatnonzero(self.length == m)
+            if len(mine):
+                whole = np.array([hashes[k][0] for k in mine], np.uint64)
+                by = np.argsort(whole, kind="stable")
+                self.short[m] = whole[by], mine[by]
+
+    def item_codes(self, k: int) -> np.ndarray:
+        return self.codes[self.code_at[k] : self.code_at[k + 1]]
+
+    def shared(self, k: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the hashes, place in item k) of the runs that occur in the item."""
+        mine = self.gram[self.gram_at[k] : self.gram_at[k + 1]]
+        lo, hi = np.searchsorted(mine, hashes, "left"), np.searchsorted(mine, hashes, "right")
+        size = hi - lo
+        nth = np.repeat(np.arange(len(hashes)), size)
+        return nth, self.gram_place[self.gram_at[k] + lo[nth] + np.arange(len(nth)) - np.repeat(np.cumsum(size) - size, size)]
 
     def terms(self, codes: np.ndarray) -> np.ndarray:
         """The term that begins at each word; 0 where none of the items' does."""
@@ -113,30 +156,32 @@ class ItemIndex:
         return out
 
     def retrieve(self, terms: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(passage, item) of all items at or above their threshold."""
-        ends = np.append(starts[1:], len(terms))
-        some = np.flatnonzero(np.add.reduceat(self.tops[terms], starts) >= self.block_threshold.min(initial=np.inf))
-        if not len(some):
-            return some, some
-        sizes = ends[some] - starts[some]
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        at = np.repeat(starts[some] - first, sizes) + np.arange(sizes.sum())
-        bound = np.add.reduceat(self.maxima[terms[at]], first, axis=0)
-        p, b = np.nonzero(bound >= self.block_threshold)
-        if not len(p):
-            return p, p
-        p = some[p]
-        found_p, found_k = [], []
-        for block in np.unique(b):
-            ps = p[b == block]
-            sizes = ends[ps] - starts[ps]
-            at = np.repeat(starts[ps] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-            part = self.weight[:, block * BLOCK : (block + 1) * BLOCK]
-            score = np.add.reduceat(part[terms[at]], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
-            x, k = np.nonzero(score >= self.threshold[block * BLOCK : (block + 1) * BLOCK])
-            found_p.append(ps[x])
-            found_k.append(k + block * BLOCK)
-        return np.concatenate(found_p), np.concatenate(found_k)
+        """(passage, item) of all items with terms at or above their threshold."""
+        none = np.empty(0, np.int64)
+        size = np.diff(np.append(starts, len(terms)))
+        some = np.add.reduceat(self.tops[terms], starts) >= self.block_threshold.min(initial=np.inf)
+        if not some.any():
+            return none, none
+        passage = np.repeat(np.arange(len(starts)), size)
+        kept = some[passage] & (terms > 0)
+        passage, term = passage[kept], terms[kept].astype(np.int64) - 1
+        # blocks whose maxima can reach their lowest threshold
+        n_blocks, n = len(self.block_threshold), len(self.threshold)
+        nth, at = _expand(self.block_at, term)
+        pair, of = np.unique(passage[nth] * n_blocks + self.block[at], return_inverse=True)
+        alive = pair[np.bincount(of, self.maxima[at], len(pair)) >= self.block_threshold[pair % n_blocks]]
+        if not len(alive):
+            return none, none
+        # their items, scored in full
+        open_ = np.isin(passage, alive // n_blocks)
+        passage, term = passage[open_], term[open_]
+        nth, at = _expand(self.at, term)
+        block = passage[nth] * n_blocks + self.item[at] // BLOCK
+        here = alive[np.minimum(np.searchsorted(alive, block), len(alive) - 1)] == block
+        nth, at = nth[here], at[here]
+        pair, of = np.unique(passage[nth] * n + self.item[at], return_inverse=True)
+        good = pair[np.bincount(of, self.weight[at], len(pair)) >= self.threshold[pair % n]]
+        return good // n, good % n
 
 
 def _gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
@@ -156,14 +201,15 @@ def _term_keys(codes: np.ndarray, span: int) -> np.ndarray:
     return key
 
 
-def _item_parts(text_words: list[str], text: str) -> tuple[int, int]:
-    """Words of the question and of the whole; a text without a question mark is all answer."""
+def _question_words(text: str) -> int:
+    """Words of the question; a text without a question mark is all answer."""
     head, mark, _ = text.partition("?")
-    return (len(words(head)) if mark else 0), len(text_words)
+    return len(words(head)) if mark else 0
 
 
-def _scan(index: ItemIndex, parts: list[tuple[int, int]]):
+def _scan(held: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: ItemIndex = held.value
         known = _Codes(index.vocabulary)
         step = PASSAGE - index.run + 1
 
@@ -182,20 +228,27 @@ def _scan(index: ItemIndex, parts: list[tuple[int, int]]):
             terms = index.terms(codes)[at]
             terms[np.repeat(size < TERM, pairs)] = 0
             p, k = index.retrieve(terms, starts)
-            hits: dict[tuple[int, int], set[int]] = {}
+            hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
             hashes: dict[int, np.ndarray] = {}
             for x, item in zip(p.tolist(), k.tolist()):
                 m = int(index.length[item])
                 if m not in hashes:
                     hashes[m] = _gram_hashes(codes, m)
-                grams = index.grams[item]
                 lo = int(begin[x])
-                places = [lo + j for j, h in enumerate(hashes[m][lo : lo + max(0, int(size[x]) - m + 1)].tolist()) if h in grams]
-                if places:
-                    hits.setdefault((int(doc[x]), item), set()).update(places)
+                j, i = index.shared(item, hashes[m][lo : lo + max(0, int(size[x]) - m + 1)])
+                if len(j):
+                    hits.setdefault((int(doc[x]), item), []).extend(zip((j + lo).tolist(), i.tolist()))
+            for m, (whole, items) in index.short.items():
+                h = _gram_hashes(codes, m)
+                lo, hi = np.searchsorted(whole, h, "left"), np.searchsorted(whole, h, "right")
+                owner = np.searchsorted(doc_start, np.arange(len(h)), "right") - 1
+                inside = (hi > lo) & (np.arange(len(h)) + m <= doc_start[owner] + lengths[owner])
+                for j in np.flatnonzero(inside).tolist():
+                    for item in items[lo[j] : hi[j]].tolist():
+                        hits.setdefault((int(owner[j]), item), []).append((j, 0))
             out = []
             for (d, item), places in hits.items():
-                got = _verify(codes, sorted(places), index.codes[item], int(index.length[item]), index.grams[item], hashes, parts[item][0])
+                got = _verify(codes, sorted(set(places)), index.item_codes(item), int(index.length[item]), index.question[item])
                 if got:
                     out.append((docs[d], index.ids[item], *got))
             return out
@@ -226,45 +279,45 @@ def _scan(index: ItemIndex, parts: list[tuple[int, int]]):
     return run
 
 
-def _verify(codes: np.ndarray, places: list[int], item: np.ndarray, m: int, grams: dict[int, list[int]], hashes: dict[int, np.ndarray], question: int) -> tuple[int, float, float] | None:
-    """Longest common run (at least m words) and the shares of the item covered by such runs."""
+def _verify(codes: np.ndarray, places: list[tuple[int, int]], item: np.ndarray, m: int, question: int) -> tuple[int, float, float] | None:
+    """Longest common run (at least m words) and the shares of the item covered by such runs.
+
+    places: where runs of m words begin in the text and in the item, in order.
+    """
     covered = np.zeros(len(item), bool)
     longest = 0
-    running: dict[tuple[int, int], int] = {}
-    for j in places:
-        now: dict[tuple[int, int], int] = {}
-        for i in grams[int(hashes[m][j])]:
-            if np.array_equal(codes[j : j + m], item[i : i + m]):
-                now[j, i] = length = running.get((j - 1, i - 1), m - 1) + 1
-                covered[i : i + m] = True
-                longest = max(longest, length)
-        running = now
+    ends: dict[tuple[int, int], int] = {}
+    for j, i in places:
+        if np.array_equal(codes[j : j + m], item[i : i + m]):
+            ends[j, i] = length = ends.pop((j - 1, i - 1), m - 1) + 1
+            covered[i : i + m] = True
+            longest = max(longest, length)
     if not longest:
         return None
     return longest, float(covered[:question].mean()) if question else 0.0, float(covered[question:].mean()) if question < len(item) else 0.0
 
 
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     """doc_id, item_id, longest_run, question_share, answer_share of every leak."""
     texts = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     schema = "doc_id long, item_id long, longest_run int, question_share double, answer_share double"
     out = None
     group: list[tuple[int, str]] = []
-    held = 0
+    held, distinct = 0, set()
 
     def scan(group: list[tuple[int, str]]) -> DataFrame:
-        index = ItemIndex(group)
-        by_id = dict(group)
-        parts = [_item_parts(w, by_id[i]) for i, w in zip(index.ids, index.words)]
-        return texts.mapInArrow(_scan(index, parts), schema)
+        index = documents.sparkSession.sparkContext.broadcast(ItemIndex(group))
+        return texts.mapInArrow(_scan(index), schema)
 
     for row in rows.toLocalIterator():  # a group of bounded size at a time, never all items
         group.append((row.item_id, row.text))
-        held += len(row.text) // 4
-        if len(group) >= MAX_ITEMS or held >= MAX_WORDS:
+        its = words(row.text)
+        held += len(its)
+        distinct.update(its)
+        if held >= max_words or len(distinct) >= min(max_words, MAX_VOCABULARY):
             out = scan(group) if out is None else out.unionByName(scan(group))
-            group, held = [], 0
+            group, held, distinct = [], 0, set()
     if group:
         out = scan(group) if out is None else out.unionByName(scan(group))
     if out is None:

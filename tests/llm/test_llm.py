@@ -394,9 +394,24 @@ def test_leaks_against_brute_force(spark):
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, item_id string")
     ev = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
     assert values(leaks.found(df, ev)) == sorted(want)
+    assert values(leaks.leaks(df, ev, max_words=300).select("doc_id", "item_id")) == sorted(want)  # several groups
     assert not leaks.found(df.limit(0), ev).collect() and not leaks.found(df, ev.limit(0)).collect()
 
 
+def test_many_items_stay_small():
+    """100,000 items of 40 words: postings and block maxima grow with the words."""
+    rng = np.random.default_rng(1)
+    words = np.array([f"w{i}" for i in range(20_000)])
+    drawn = rng.integers(0, len(words), (100_000, 40))
+    index = leaks.ItemIndex([(i, " ".join(words[d])) for i, d in enumerate(drawn)])
+    held = sum(x.nbytes for x in vars(index).values() if isinstance(x, np.ndarray))
+    assert held < 400_000_000
+    text = np.concatenate([drawn[7][5:20], drawn[9][:11], drawn[99_999][-12:]])
+    codes = np.array([index.vocabulary[w] for w in words[text]])
+    p, k = index.retrieve(index.terms(codes), np.array([0, 15, 26]))
+    assert {index.ids[x] for x in k} == {7, 99_999}
+
+
 def test_leak_in_a_very_long_text_and_shares(spark):
     item = "Question: which document governs the pump? Answer: The " + " ".join(f"step{i}" for i in range(30)) + "."
     text = "filler word here. " * 60_000 + item + " more filler" * 50_000
