@@ -46,11 +46,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Items are ranked within so many buckets, each of them one task's sort at most.
 BUCKETS = 1024
 #: Cells of a pricing's table, which decide how many lengths it takes, and fewest lengths it takes.
-CELLS, LEAST = 1 << 18, 96
+CELLS, LEAST = 1 << 18, 64
 #: Duality gap at which a solution is rounded, and share of all sizes that may be left to best fit then.
 GAP, REST = 0.01, 0.01
-#: Fall of a price with the share covered, and share of a pattern's possible number that is used at once.
-ETA, STEP = 1.0, 0.5
+#: Fall of a price with the share covered.
+ETA = 1.0
 #: A length's first price is its share of the capacity to this power: large items first.
 GAIN = 1.5
 MEMORY = 300_000
@@ -160,11 +160,10 @@ def fractional(size: np.ndarray, left: np.ndarray, capacity: int, rng: np.random
                 continue
             used = count > 0
             often = float((most[used] // count[used]).min())
-            # a full step only where little is open: prices must follow what is covered
-            step = max(1.0, often * STEP if open_ > 0.1 * total else often)
-            out.append((mine[used], count[used], step))
-            covered[mine[used]] += count[used] * step
-            open_ -= capacity * step
+            # as often as its scarcest length allows: that one is then covered, the others' prices fall
+            out.append((mine[used], count[used], often))
+            covered[mine[used]] += count[used] * often
+            open_ -= capacity * often
             progress = True
     return out
 
