@@ -35,6 +35,10 @@ def p4_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.normalized(_table(spark, sf, "para_blocks"), _table(spark, sf, "cell_data"))
 
 
+def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.classes(_table(spark, sf, "para_blocks"), _table(spark, sf, "cell_data"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.found(_table(spark, sf, "hchunks"))
 
@@ -72,7 +76,7 @@ def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
     return language.segments(_table(spark, sf, "documents"), _table(spark, sf, "lang_samples"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_collapsed, p4_found, p4_normalized, p6_found, p6_groups, p7_packed, p7_fill, p8_found, p8_leaks, p9_found, p9_segments)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_collapsed, p4_found, p4_normalized, p4_classes, p6_found, p6_groups, p7_packed, p7_fill, p8_found, p8_leaks, p9_found, p9_segments)}
 
 # DuckDB: words of a text as one blank-separated string
 _WORDS = "array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ')"

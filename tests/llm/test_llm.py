@@ -169,7 +169,7 @@ def test_same_look_same_form(odd, plain):
     assert lookalike.normalize(odd) == lookalike.normalize(plain)
 
 
-@pytest.mark.parametrize(("a", "b"), [("m2", "m²"), ("1", "①"), ("1/2", "½"), ("Objet", "OBJET"), ("modele", "modèle"), ("Maß", "Mass"), ("a.b", "a b"), ("α = 1", "a = 1")])
+@pytest.mark.parametrize(("a", "b"), [("m2", "m²"), ("1", "①"), ("1/2", "½"), ("Objet", "OBJET"), ("modele", "modèle"), ("Maß", "Mass"), ("a.b", "a b"), ("α = 1", "a = 1"), ("ν = 1", "v = 1")])
 def test_visible_differences_stay(a, b):
     assert lookalike.normalize(a) != lookalike.normalize(b)
 
@@ -178,9 +178,27 @@ def test_other_scripts_stay():
     for t in ("Общие положения", "Αριθμός παρτίδας", "品質記録", "690 kΩ", "γ-globuline", "Приложение Б"):
         assert lookalike.normalize(t) == t
     assert lookalike.normalize("Приложение A") == lookalike.normalize("Приложение А")
+    for t in ("Օրենք", "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ ᎽᏚ", "ρυθμός ρ", "нова"):
+        assert lookalike.normalize(t) == t
     assert lookalike.normalize(None) is None and lookalike.normalize("​ ") == ""
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.from_regex(lookalike.OWN_FORM.rstrip("$") + r"\Z", fullmatch=False))
+def test_own_forms_are_their_forms(text):
+    assert lookalike.normalize(text) == text
+
+
+def test_script_flags_and_classes(spark):
+    texts = ["соde", "СОРЕ", "plain", "États", "Общие положения", "NOTE СОРЕ", None, ""]
+    paras = spark.createDataFrame([(i, "d", t) for i, t in enumerate(texts)] + [(20, "d", "code"), (21, "d", "code"), (22, "e", "code")], "para_no long, doc_id string, text string")
+    cells = spark.createDataFrame([], "cell_no long, doc_id string, text string")
+    got = {r.row_no: (r.form, r.mixed, r.whole_script) for r in lookalike.normalized(paras, cells).collect()}
+    assert got[0] == ("code", True, False) and got[2] == ("plain", False, False) and got[4][1:] == (False, False)
+    assert got[5] == ("NOTE COPE", False, True) and got[6] == (None, False, False)
+    assert values(lookalike.classes(paras, cells)) == [("para_blocks", "d", "code", 3, 2, 0)]
+
+
 def test_lookalike_pairs(spark):
     paras = spark.createDataFrame([(1, "d", "État", 0), (2, "d", "État", 0), (3, "d", "État", 0), (4, "e", "État", 0), (5, None, "État", 0), (6, "d", None, 0), (7, "d", "", 0), (8, "d", "​", 0)], "para_no long, doc_id string, text string, form int")
     cells = spark.createDataFrame([(1, "d", "État", "x"), (9, "d", "É‍tat", "x")], "cell_no long, doc_id string, text string, src string")
