@@ -10,6 +10,8 @@ import pytest
 import docx_maker as D
 from sheafline import queries
 from sheafline.config import ChunkSettings
+from pyspark.sql import functions as F
+
 from sheafline.operators import hierarchy, linked, pages, shred, word
 
 SF = "/root/testdata/sf0.001"
@@ -132,13 +134,37 @@ def test_deep_nesting_and_round_trip():
     item = {"self_ref": "#/tables/0", "cells": [{"text": "x"}]}
     for i in range(1, 3000):
         item = {"self_ref": f"#/tables/{i}", "cells": [{"text": str(i), "tables": [item]}]}
-    rows = list(shred.shred_object(record(tables=[item]), shred.SchemaGraph((("item", "cells", True), ("cells", "item", True)), shred.FORCED)))
+    whole = shred.Parsed(None)
+    whole.top = record(tables=[item])
+    todo = [whole.top]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            whole.entries[id(x)] = len(x)
+        todo.extend(y for y in (x.values() if isinstance(x, dict) else x) if isinstance(y, (dict, list)))
+    rows = list(shred.shred_object(whole, shred.SchemaGraph((("item", "cells", True), ("cells", "item", True)))))
     assert sum(r[0] == "item" for r in rows) == 3001 and sum(r[0] == "cells" for r in rows) == 3000
 
 
 def test_schema_graph_inlines_singletons():
     g = shred.SchemaGraph((("record", "item", True), ("item", "meta", False), ("meta", "size", False), ("item", "image", False), ("meta", "image", False)))
     assert g.tables == {"record", "item", "image"}
+    assert g.parts("item") == {"": "item", "meta.": "meta", "meta.size.": "size"}
+
+
+def test_relations_are_typed_and_related(spark):
+    doc = record(tables=[{"self_ref": "#/tables/0", "label": "t", "data": {"num_rows": 2, "share": 0.5, "ok": True, "odd": "x"}, "cells": [{"text": "a", "n": 1}, {"text": "b", "n": 2.5}]}, {"self_ref": "#/tables/1", "data": {"odd": 3}}])
+    df = spark.createDataFrame([(7, json.dumps(doc))], "rec_id long, payload string")
+    graph = shred.analyse(df)
+    rows = shred.shred(df, graph)
+    assert "data" not in graph.tables and "cells" in graph.tables
+    items = shred.relation_table(rows, graph, "item")
+    assert dict(items.dtypes)["data_num_rows"] == "bigint" and dict(items.dtypes)["data_share"] == "double" and dict(items.dtypes)["data_ok"] == "boolean" and dict(items.dtypes)["data_odd"] == "string"
+    cells = shred.relation_table(rows, graph, "cells")
+    got = cells.join(items.select(items.row_no.alias("up"), "label", "data_num_rows"), cells.up_row == F.col("up")).select("text", "n", "label", "data_num_rows")
+    assert values(got) == [("a", 1.0, "t", 2), ("b", 2.5, "t", 2)]
+    data = shred.elements(rows, graph, "data", ["odd"])
+    assert values(data.select("self_ref", "place", "odd")) == [("#/tables/0", "held", "x"), ("#/tables/1", "held", "3")]
 
 
 # ---------------------------------------------------------------- chunks
