@@ -139,8 +139,7 @@ class Reader:
         self.warnings: list[str] = []
 
     def body(self) -> list:
-        root = self.package.xml(self.part)
-        return [b for el in kids(child(root, "body")) for b in self.block(el, Where())]
+        return [b for el in self.package.children(self.part, "body") for b in self.block(el, Where())]
 
     def block(self, el: ET.Element, at: Where):
         name = name_of(el)
@@ -464,24 +463,20 @@ class Reader:
 
     @staticmethod
     def _heads(el, cells: list[Cell], marked: list[int], n_rows: int) -> tuple[set[int], str | None]:
-        """Header rows: marked ones from the top, else a bold first row, else the look's first-row flag."""
-        if marked[:1] == [0]:
-            return set(marked), "tblHeader"
-        first = [c for c in cells if c.row == 0]
-        rest = [c for c in cells if c.row and c.text]
-        all_bold = any(c.text for c in first) and all(c.bold or not c.text for c in first)
-        if n_rows > 1 and all_bold and not (rest and all(c.bold for c in rest)):
-            return {0}, "bold_first_row"
+        """Header rows and what says so: marked rows from the top, else a bold first row, else the look's first-row flag."""
+        filled = [c for c in cells if c.text]
+        first_row = [c for c in cells if c.row == 0]
+        bold = {(c.row == 0, c.bold) for c in filled}  # (in the first row, bold) of the cells with text
         flags = child(el, "tblPr", "tblLook")
-        said = attr(flags, "firstRow")
-        if said is None and attr(flags, "val"):
-            try:
-                said = str(int(attr(flags, "val"), 16) >> 5 & 1)
-            except ValueError:
-                said = None
-        if n_rows > 1 and said in ("1", "true") and all(c.text for c in first):
-            return {0}, "tblLook"
-        return set(), None
+        bits = attr(flags, "val") or ""
+        by_bits = bool(re.fullmatch("[0-9A-Fa-f]+", bits)) and int(bits, 16) & 0x20 != 0
+        look = {None: by_bits, "1": True, "true": True}.get(attr(flags, "firstRow"), False)
+        options = (
+            (marked[:1] == [0], set(marked), "tblHeader"),
+            (n_rows > 1 and (True, True) in bold and (True, False) not in bold and ((False, True) not in bold or (False, False) in bold), {0}, "bold_first_row"),
+            (n_rows > 1 and look and all(c.text for c in first_row), {0}, "tblLook"),
+        )
+        return next(((rows, source) for yes, rows, source in options if yes), (set(), None))
 
 
 def _math(el) -> str:
