@@ -91,6 +91,18 @@ def fan_back(pictures: DataFrame, results: DataFrame) -> DataFrame:
     return pictures.join(results.select("sha256", "text", "state"), "sha256", "left")
 
 
+def statistics(pictures: DataFrame) -> DataFrame:
+    """doc_id, described, cached, skipped, errors: pictures by what became of their image; those not asked for count as skipped."""
+    counts = [F.count_if(F.col("state") == state).alias(name) for state, name in (("described", "described"), ("cached", "cached"), ("error", "errors"))]
+    return pictures.groupBy("doc_id").agg(*counts, F.count_if(F.col("state").isNull() | (F.col("state") == "skipped")).alias("skipped"))
+
+
+def append_cache(results: DataFrame, name: str, path: str) -> None:
+    """Appends newly described images to a cache that ``sources.files.describer_cache`` reads; the last entry of a key counts."""
+    rows = results.where(F.col("state") == "described").select(cache_key(F.col("sha256"), name).alias("key"), F.col("text").alias("value"))
+    rows.write.mode("append").json(path)
+
+
 def neighbour_text(blocks: DataFrame) -> DataFrame:
     """For each picture block the text of its paragraph, else the last before, else the first after."""
     w = Window.partitionBy("doc_id").orderBy("pos")

@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ChunkSettings, HierarchySettings, ParserSettings
+from ..functions.roles import classify
 from ..functions.sections import Sectioner
 from ..functions.structured import document_id
 from ..functions.tree import markdown, to_document
-from ..sources.word import read
+from ..sources.word import Para, read
 from . import structured
 from .linked import link
 from .shred import parse_object
@@ -52,6 +53,52 @@ def documents(files: DataFrame, settings: ParserSettings = ParserSettings(), mod
     return files.mapInPandas(run, _DOCUMENT)
 
 
+_BLOCK = (
+    "path string, pos int, kind string, role string, level int, source string, confidence double, marker string, text string, style string, outline int, page int, size double, bold double, "
+    "seq string, toc_level int, toc_page string, target int, images int, notes array<string>, links array<string>, in_textbox boolean, header_source string, nested int, "
+    "cells array<struct<row:int,col:int,rows:int,cols:int,text:string,header:boolean>>"
+)
+
+
+def blocks(files: DataFrame, settings: ParserSettings = ParserSettings()) -> DataFrame:
+    """Every block of every readable package in reading order, with its role; a table's cells are an array."""
+    names = [c.split()[0] for c in _BLOCK.split(", ")]
+
+    def rows(path: str, content: bytes) -> Iterator[dict]:
+        parsed = read(content, settings)
+        classify(parsed.blocks, settings)
+        for pos, b in enumerate(parsed.blocks):
+            row = dict.fromkeys(names) | {"path": path, "pos": pos, "page": b.page}
+            if isinstance(b, Para):
+                row |= {k: getattr(b, k) for k in ("role", "level", "source", "confidence", "marker", "text", "outline", "size", "bold", "seq", "toc_level", "toc_page", "target", "in_textbox")}
+                row |= {"kind": "paragraph", "style": b.style_name, "images": len(b.images), "notes": [n for _, n in b.notes], "links": b.hyperlinks}
+            else:
+                row |= {"kind": "table", "header_source": b.header_source, "nested": len(b.nested), "cells": [(c.row, c.col, c.rows, c.cols, c.text, c.header) for c in b.cells]}
+            yield row
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"].tolist(), batch["content"].tolist()):
+                try:
+                    got = list(rows(path, content))
+                except Exception:  # ``documents`` names the error
+                    continue
+                frame = pd.DataFrame(got, columns=names)
+                for c in ("level", "outline", "toc_level", "target", "images", "nested"):
+                    frame[c] = frame[c].astype("Int64")
+                yield frame
+
+    return files.select("path", "content").mapInPandas(run, _BLOCK)
+
+
+def items(docs: DataFrame) -> DataFrame:
+    """path, self_ref, parent, label, layer, text, level, marker of every item of structured documents."""
+    node = "array<struct<self_ref:string,parent:struct<`$ref`:string>,label:string,content_layer:string,text:string,level:int,marker:string>>"
+    doc = F.from_json("payload", f"texts {node}, tables {node}, pictures {node}, groups {node}")
+    every = F.explode(F.concat(*(F.coalesce(F.col("d")[k], F.array()) for k in ("groups", "texts", "tables", "pictures"))))
+    return docs.select("path", doc.alias("d")).select("path", every.alias("i")).select("path", "i.self_ref", F.col("i.parent")["$ref"].alias("parent"), "i.label", F.col("i.content_layer").alias("layer"), "i.text", "i.level", "i.marker")
+
+
 def chunked(docs: DataFrame, settings: ChunkSettings) -> tuple[DataFrame, DataFrame]:
     """Linked chunks and parents of structured documents (path, payload)."""
     rows = docs.where(F.col("payload").isNotNull()).select(F.xxhash64("path").alias("rec_id"), "payload", F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("stem"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import word_expected, word_queries
 from .config import ChunkSettings
 from .functions import text as T
 from .operators import blocks, hierarchy, linked, pages, paragraphs, shred, structured, tables, word
@@ -284,7 +285,7 @@ QUERIES = {
         forward_fill, h04_sections, a01_heading_parent, c07_repeated_lines, c12_body_size, c14_shape, c18_levels, a13_roles, a14_extent, k04_dense_grid, k07_markdown_cells, x19_header_rows, c10_nearest, referenced_items, a11_dangling,
         usable_pages, page_sections, asof_title, c_page_chunks, c_page_parents, b_document_chunks, b_document_parents, diagnostic, i03_image_uses, a_sectioned_chunks, k05_markdown, table_rows, t09_fixed_windows, a03_captions, a10_furniture, h08_hash_state,
     )
-}
+} | word_queries.QUERIES
 
 _TREE = """
 WITH RECURSIVE node AS (
@@ -325,6 +326,35 @@ _PLAIN = "regexp_replace(regexp_replace(regexp_replace(replace(translate(text, c
 _USABLE = """u AS (SELECT page_no, coalesce(doc_id, 'unknown') AS doc_id, coalesce(page, 0) AS page, coalesce(source, 'native') AS source, coalesce(text, '') AS text, headings
   FROM page_records WHERE coalesce(etat, '') <> 'error')"""
 
+_PARTS = r"""
+WITH RECURSIVE node AS MATERIALIZED (
+  SELECT rec_id, j.id, j.parent AS up, j.key, j.type, CASE WHEN j.type = 'OBJECT' THEN json_extract_string(j.value, '$.self_ref') END AS ref, CASE WHEN j.type = 'OBJECT' THEN json_extract_string(j.value, '$.sha256') END AS sha,
+         j.type = 'OBJECT' AND coalesce(json_type(j.value, '$.self_ref') = 'VARCHAR' AND json_extract_string(j.value, '$.self_ref') <> '', false) AS item
+  FROM (SELECT rec_id, CASE WHEN json_valid(payload) THEN payload ELSE 'null' END AS payload FROM docling_records) d, json_tree(d.payload) j),
+full_ AS (
+  SELECT rec_id, up AS id FROM node WHERE type NOT IN ('OBJECT', 'ARRAY', 'NULL')
+  UNION SELECT n.rec_id, n.up FROM full_ f JOIN node n ON n.rec_id = f.rec_id AND n.id = f.id),
+obj AS (SELECT n.* FROM node n JOIN full_ f ON f.rec_id = n.rec_id AND f.id = n.id WHERE n.type = 'OBJECT'),
+item AS (SELECT rec_id, id, ref FROM node WHERE item AND ref <> '#/body'),
+holder AS (
+  SELECT rec_id, id, ref FROM item
+  UNION ALL SELECT o.rec_id, o.id, i.ref FROM obj o JOIN item i ON i.rec_id = o.rec_id AND o.up = i.id WHERE NOT o.item AND o.key <> 'meta'),
+cell AS (
+  SELECT h.rec_id, h.ref, CAST(o.key AS INTEGER) AS pos FROM obj o JOIN node a ON a.rec_id = o.rec_id AND a.id = o.up AND a.type = 'ARRAY' AND a.key IN ('cells', 'table_cells')
+  JOIN holder h ON h.rec_id = a.rec_id AND h.id = a.up WHERE NOT o.item),
+side AS (
+  SELECT e.rec_id, e.id, e.key AS ref FROM obj e JOIN node m ON m.rec_id = e.rec_id AND m.id = e.up AND m.key = 'items' JOIN node x ON x.rec_id = m.rec_id AND x.id = m.up AND x.key = 'x_docx'
+  JOIN node t ON t.rec_id = x.rec_id AND t.id = x.up AND t.up IS NULL WHERE (e.rec_id, e.key) IN (SELECT (rec_id, ref) FROM item)),
+meta AS (
+  SELECT o.rec_id, o.id, i.ref FROM obj o JOIN item i ON i.rec_id = o.rec_id AND o.up = i.id WHERE o.key = 'meta' AND NOT o.item
+  UNION ALL SELECT * FROM side),
+below AS (
+  SELECT rec_id, id, ref FROM meta
+  UNION SELECT n.rec_id, n.id, b.ref FROM below b JOIN node n ON n.rec_id = b.rec_id AND n.up = b.id WHERE n.type IN ('OBJECT', 'ARRAY') AND NOT n.item),
+image AS (
+  SELECT o.rec_id, h.ref, o.sha FROM obj o JOIN (SELECT * FROM item UNION ALL SELECT * FROM below) h ON h.rec_id = o.rec_id AND h.id = o.up WHERE o.key = 'image' AND NOT o.item)
+"""
+
 SQL = {
     "p1_found": _TREE + "SELECT n.doc_id, n.self_ref FROM node n LEFT JOIN down d USING (doc_id, self_ref) WHERE d.self_ref IS NULL",
     "p1_hierarchy": _TREE + "SELECT n.doc_id, n.self_ref, d.root_ref, d.depth, d.path, d.self_ref IS NULL AS endless FROM node n LEFT JOIN down d USING (doc_id, self_ref)",
@@ -336,6 +366,11 @@ SQL = {
   SELECT p.doc_id, n.parent, p.descendant, p.distance + 1 FROM pair p JOIN node n ON n.doc_id = p.doc_id AND n.self_ref = p.ancestor
   WHERE n.parent NOT IN ('#/body', '#/furniture') AND (n.doc_id, n.parent) IN (SELECT (doc_id, self_ref) FROM node))
 SELECT doc_id, ancestor, descendant, distance FROM pair""",
+    "p5_found": _PARTS
+    + """SELECT rec_id, ref AS self_ref, 'cell' AS part_kind, pos FROM cell
+UNION SELECT rec_id, ref, 'image', 0 FROM image
+UNION SELECT rec_id, ref, 'meta', 0 FROM meta""",
+    "i03_image_uses": _PARTS + "SELECT sha AS sha256, count(*) AS n, min(rec_id) AS first_rec FROM image WHERE sha IS NOT NULL GROUP BY sha",
     "t_tokens": f"SELECT doc_id, {_word_tokens('text')} AS by_words, CAST(greatest(1, (length(text) + 3) // 4) AS INTEGER) AS by_chars FROM documents WHERE text IS NOT NULL",
     "t_norm_hash": f"SELECT doc_id, sha256({_norm('text')}) AS h FROM documents WHERE text IS NOT NULL",
     "t_sentences": rf"""
@@ -446,4 +481,4 @@ SELECT doc_id, CAST(i // 64 AS INTEGER) AS window_no, array_to_string(w[i + 1 :
     "h08_hash_state": f"""
 SELECT kind, CASE WHEN content_hash IS NULL THEN 'missing' WHEN content_hash = sha256({_norm('text')}) THEN 'right' ELSE 'other' END AS state, count(*) AS n
 FROM hchunks WHERE text IS NOT NULL GROUP BY ALL""",
-}
+} | word_expected.SQL

@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-import docx_maker as D
+from sheafline import fixtures as D
 from sheafline import queries
 from sheafline.config import ChunkSettings
 from pyspark.sql import functions as F

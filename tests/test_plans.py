@@ -3,7 +3,7 @@
 import json
 from datetime import datetime
 
-import docx_maker as D
+from sheafline import fixtures as D
 from sheafline.config import ChunkSettings, VisionSettings
 from sheafline.operators import vision, word
 from sheafline.plans import pipeline, sinks
