@@ -33,6 +33,9 @@ ROOT, OPEN, CYCLE = 0, 1, 2
 #: Names of tree roots that have no row of their own.
 ROOT_MARKERS = ("#/body", "#/furniture")
 
+#: Rows of a range at most, so what a task holds; smaller tables are cut into the session's partitions of at least ``LEAST_ROWS``.
+RANGE_ROWS, LEAST_ROWS = 200_000, 5_000
+
 _FRAGMENT = "grp string, node string, top string, off int, state int, ext string, seg array<string>"
 
 
@@ -142,7 +145,9 @@ def resolve(
         .select("grp", "node", F.col("kept.parent").alias("parent"))
     )
     nodes = scratch.keep(nodes, "nodes")
-    ranged = nodes.repartitionByRange(partitions(spark), "grp", "node")
+    n = nodes.count()
+    ranges = max(1, -(-n // RANGE_ROWS), min(partitions(spark), n // LEAST_ROWS))
+    ranged = nodes.repartitionByRange(ranges, "grp", "node")
     fragments = scratch.keep(ranged.mapInPandas(_fragments(with_paths, markers), _FRAGMENT), "fragments")
 
     tops = fragments.where((F.col("state") == OPEN) & (F.col("node") == F.col("top"))).select("grp", F.col("node").alias("top"), "ext")
@@ -175,6 +180,7 @@ def resolve(
         # every third of a long way doubles, so arrays on cycles must not: they are cut once nothing resolves any more
         merged = scratch.keep(links.where(F.col("state") != OPEN).unionByName(moved), "links")
         now = merged.where(F.col("state") == OPEN).count()
+        scratch.drop(links)
         links = merged
         if now == left:
             break

@@ -9,6 +9,7 @@ text), so a large document spreads over tasks by its texts.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +29,6 @@ OTHER_SECTIONS = 20
 
 def emission_frame(rows: list[tuple]):
     """Emissions as a pandas frame with nullable numbers."""
-    import pandas as pd
-
     frame = pd.DataFrame(rows, columns=[c.split()[0] for c in EMISSION.split(", ")])
     for c in ("parent", "page"):
         frame[c] = frame[c].astype("Int64")
@@ -96,10 +95,13 @@ def link(emissions: DataFrame, settings: ChunkSettings) -> tuple[DataFrame, Data
     texts = emissions.where(F.col("kind") == "c").withColumn("norm", F.when(F.lit(settings.dedup) & (F.col("block_type") != "table") & (F.col("n_tokens") >= settings.dedup_min_tokens), F.sha2(T.normalized(F.col("text")), 256)))
 
     repeated = texts.where(F.col("norm").isNotNull()).groupBy("doc_id", "norm", "section").agg(F.min(at).alias("at"), F.count("*").alias("n"))
-    per_text = repeated.groupBy("doc_id", "norm").agg(F.sum("n").alias("n"), F.min("at").alias("first"), F.array_sort(F.collect_list(F.struct("at", "section"))).alias("seen")).where(F.col("n") > 1)
-    # the first section is the kept chunk's own
-    others = F.slice(F.transform(F.slice("seen", 2, OTHER_SECTIONS), lambda x: x["section"]), 1, OTHER_SECTIONS)
-    marked = texts.join(per_text.select("doc_id", "norm", "first", others.alias("repeat_sections")), ["doc_id", "norm"], "left")
+    per_text = repeated.groupBy("doc_id", "norm").agg(F.sum("n").alias("n"), F.min("at").alias("first")).where(F.col("n") > 1)
+    # the first section is the kept chunk's own; of the others only so many leave the sort
+    nth_section = F.row_number().over(Window.partitionBy("doc_id", "norm").orderBy("at"))
+    listed = repeated.withColumn("nth", nth_section).where(F.col("nth") <= OTHER_SECTIONS + 1).where(F.col("nth") > 1)
+    listed = listed.groupBy("doc_id", "norm").agg(F.array_sort(F.collect_list(F.struct("at", "section"))).alias("seen"))
+    per_text = per_text.join(listed, ["doc_id", "norm"], "left").select("doc_id", "norm", "first", F.transform("seen", lambda x: x["section"]).alias("repeat_sections"))
+    marked = texts.join(per_text, ["doc_id", "norm"], "left")
     kept = marked.where(F.col("first").isNull() | (F.col("first") == at))
 
     nth = F.row_number().over(Window.partitionBy("doc_id", "section", F.sha2("text", 256)).orderBy("doc_order", "seq")) - 1

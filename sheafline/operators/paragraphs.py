@@ -6,6 +6,7 @@ an aggregate needs it.  Null texts have no paragraphs and no counts.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,23 +27,29 @@ def exploded(docs: DataFrame) -> DataFrame:
 
 def repeats(paras: DataFrame, least_tokens: int) -> DataFrame:
     """First place and number of copies of each long paragraph within its document."""
-    rows = paras.withColumn("h", T.content_hash(F.col("para"))).where(T.tokens_words(F.col("para")) >= least_tokens)
+    rows = paras.where(T.tokens_words(F.col("para")) >= least_tokens).withColumn("h", T.content_hash(F.col("para")))
     return rows.groupBy("doc_id", "h").agg(F.min("pos").alias("first_pos"), F.count("*").alias("copies"))
 
 
 def packed(docs: DataFrame, limit: int) -> DataFrame:
-    """doc_id, pos, n, grp: whole paragraphs packed in order up to the limit (one fold over the row's array)."""
-    sized = F.transform(T.paragraphs(F.col("text")), lambda p: T.tokens_words(p))
-    kind = "array<struct<n:int,grp:int>>"
-    start = F.struct(F.lit(0).alias("grp"), F.lit(0).alias("used"), F.array().cast(kind).alias("out"))
-
-    def step(acc, n):
-        full = (acc["used"] > 0) & (acc["used"] + n > limit)
-        grp = F.when(full, acc["grp"] + 1).otherwise(acc["grp"])
-        used = F.when(full, n).otherwise(acc["used"] + n)
-        return F.struct(grp.alias("grp"), used.alias("used"), F.concat(acc["out"], F.array(F.struct(n.alias("n"), grp.alias("grp")))).alias("out"))
-
-    return docs.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.aggregate(sized, start, step)["out"]).alias("pos", "g")).select("doc_id", "pos", "g.n", "g.grp")
+    """doc_id, pos, n, grp: whole paragraphs packed in order up to the limit (one fold over the row's sizes)."""
+    @F.pandas_udf("array<int>")
+    def groups(sizes: pd.Series) -> pd.Series:
+        def fold(row) -> list[int]:
+            out: list[int] = []
+            grp = used = 0
+            for n in row:
+                if used > 0 and used + n > limit:
+                    grp, used = grp + 1, 0
+                used += n
+                out.append(grp)
+            return out
+
+        return sizes.map(fold)
+
+    sized = docs.where(F.col("text").isNotNull()).select("doc_id", F.transform(T.paragraphs(F.col("text")), lambda p: T.tokens_words(p)).alias("n"))
+    both = sized.withColumn("grp", groups("n"))
+    return both.select("doc_id", F.posexplode(F.arrays_zip("n", "grp")).alias("pos", "g")).select("doc_id", "pos", "g.n", "g.grp")
 
 
 CONTENTS_LINE = r"(?i)^.*\S\s*(\t+|\.{3,}|…+|[._·]{3,}|\s{3,})[\s._·…]*(\d{1,4}|[ivxlcdm]{1,7})\s*$"

@@ -40,6 +40,7 @@ def main(argv: list[str] | None = None) -> int:
     for name in ("pages", "documents", "word"):
         source.add_argument(f"--{name}")
     p.add_argument("--out", required=True)
+    p.add_argument("--structured", action="store_true", help="of Word packages also the structured JSON and the Markdown, below --out")
     p.add_argument("--format", choices=["json", "parquet"], default="json")
     p.add_argument("--strategy", choices=["structural", "recursive", "fixed"])
     p.add_argument("--chunk-tokens", type=int)
@@ -55,6 +56,10 @@ def main(argv: list[str] | None = None) -> int:
     kind = next(k for k in read if getattr(a, k))
     chunks, parents = read[kind](spark, getattr(a, kind), settings)
     sinks.write_tables(chunks, parents, a.out, a.format)
+    if a.structured and a.word:
+        docs = Scratch(spark, "structured").keep(word.documents(word.packages(spark, a.word)), "documents")
+        sinks.write_documents(docs, f"{a.out}/documents")
+        word.as_markdown(docs.where("payload IS NOT NULL")).write.mode("overwrite").json(f"{a.out}/markdown")
     report = linked.diagnostics(chunks, parents, settings).first()
     for name, value in (report.asDict() if report else {}).items():
         print(f"{name}: {value}")

@@ -21,11 +21,12 @@ from ..operators.paragraphs import latest
 from ..plans.sinks import CHUNK_FIELDS, PARENT_FIELDS
 from ..shared import Scratch
 
+#: Buckets of the tables where the caller names no number; a store keeps its number for ever.
 BUCKETS = 64
 
 
-def _bucket():
-    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
 
 
 def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -41,11 +42,16 @@ def _own_key():
     return F.when((F.col("doc_id") == "unknown") | F.col("page").isNull(), F.col("page_no"))
 
 
-def upsert(batch: DataFrame, base: str, settings: ChunkSettings) -> None:
-    """Merge a batch of page records (PAGE_SCHEMA, page_no, received_at) into the tables below ``base``."""
+def upsert(batch: DataFrame, base: str, settings: ChunkSettings, buckets: int = BUCKETS) -> None:
+    """Merge a batch of page records (PAGE_SCHEMA, page_no, received_at) into the tables below ``base``.
+
+    ``buckets`` bounds what a batch rewrites: the tables' size over it is what one changed
+    document costs, so it should grow with the store.  Pages are written last: a batch that
+    ended early is replayed against the pages it has not changed yet.
+    """
     spark = batch.sparkSession
     scratch = Scratch(spark, "incremental")
-    new = batch.withColumn("doc_id", F.coalesce("doc_id", F.lit("unknown"))).withColumn("bucket", _bucket())
+    new = batch.withColumn("doc_id", F.coalesce("doc_id", F.lit("unknown"))).withColumn("bucket", _bucket(buckets))
     new = scratch.keep(new, "new")
     touched = new.select("bucket").distinct()
     old = _stored(spark, f"{base}/pages", new).join(F.broadcast(touched), "bucket", "left_semi")  # at most BUCKETS rows
@@ -53,17 +59,17 @@ def upsert(batch: DataFrame, base: str, settings: ChunkSettings) -> None:
     merged = scratch.keep(latest(records.withColumn("own_key", _own_key()), ["doc_id", "page", "own_key"], ["received_at", "page_no"]).select(*new.columns), "pages")
     changed = new.select("doc_id").distinct()
     chunks, parents = P.build(merged.join(changed, "doc_id", "left_semi").drop("bucket"), settings)
-    whole = [("pages", merged)]
+    whole = []
     for name, df, fields in (("parents", parents, PARENT_FIELDS), ("chunks", chunks, CHUNK_FIELDS)):
-        fresh = df.select(*fields).withColumn("bucket", _bucket())
+        fresh = df.select(*fields).withColumn("bucket", _bucket(buckets))
         kept = _stored(spark, f"{base}/{name}", fresh).join(F.broadcast(touched), "bucket", "left_semi").join(changed, "doc_id", "left_anti")
         whole.append((name, scratch.keep(kept.select(*fresh.columns).unionByName(fresh), name)))
-    for name, df in whole:
+    for name, df in [*whole, ("pages", merged)]:
         df.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{base}/{name}")
 
 
-def start(spark: SparkSession, folder: str, base: str, checkpoint: str, settings: ChunkSettings, available_now: bool = True) -> StreamingQuery:
+def start(spark: SparkSession, folder: str, base: str, checkpoint: str, settings: ChunkSettings, available_now: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
     """Stream of JSON lines files in ``folder`` (pages with page_no and received_at)."""
     source = spark.readStream.schema(P.PAGE_SCHEMA + ", page_no long, received_at timestamp").json(folder)
-    writer = source.writeStream.foreachBatch(lambda df, _: upsert(df, base, settings)).option("checkpointLocation", checkpoint)
+    writer = source.writeStream.foreachBatch(lambda df, _: upsert(df, base, settings, buckets)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
