@@ -30,11 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.words import WORD
+from ..functions.words import WORD, mix
 
 LANGUAGES = ("fr", "en", "de", "es", "it", "pt", "nl")
 ORDER = 5
@@ -73,8 +72,27 @@ def _strip(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
 
 
-def _hash(gram: str) -> int:
-    return xxhash.xxh3_64_intdigest(gram.encode("utf-8", "surrogatepass"))
+def _codes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
+def _hash(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of n-grams whose k-th characters are the k-th column; their length counts too."""
+    h = np.full(len(columns[0]), len(columns), np.uint64)
+    for c in columns:
+        h = mix(h + c)
+    return h
+
+
+def _hash_grams(grams: list[str]) -> np.ndarray:
+    """Hashes of n-grams of any lengths."""
+    out = np.empty(len(grams), np.uint64)
+    lengths = np.array([len(g) for g in grams])
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        codes = _codes([grams[i] for i in at]).reshape(-1, n)
+        out[at] = _hash([codes[:, k] for k in range(n)])
+    return out
 
 
 class KneserNey:
@@ -105,18 +123,16 @@ class KneserNey:
             for j, g in enumerate(grams):
                 for k, model in enumerate(per_lang):
                     rows[j, k] = self._probability(model, g, size)
-            h = np.array([_hash(g) for g in grams], dtype=np.uint64)
+            h = _hash_grams(grams)
             at = np.argsort(h)
             tables.append({"hash": h[at], "value": np.log2(rows[at])})
         self.tables = tables
         # what a history without the wanted next letter hands down, per language
-        backoff_hash, backoff = [], []
         histories = sorted({h for model in per_lang for n in range(1, order) for h in model[n][1]})
-        for h in histories:
-            backoff_hash.append(_hash(h))
-            backoff.append([np.log2(model[len(h)][1][h][1]) if h in model[len(h)][1] else 0.0 for model in per_lang])
-        at = np.argsort(np.array(backoff_hash, dtype=np.uint64))
-        self.back_hash = np.array(backoff_hash, dtype=np.uint64)[at]
+        backoff = [[np.log2(model[len(h)][1][h][1]) if h in model[len(h)][1] else 0.0 for model in per_lang] for h in histories]
+        h = _hash_grams(histories)
+        at = np.argsort(h)
+        self.back_hash = h[at]
         self.back = np.array(backoff).reshape(len(histories), len(self.languages))[at]
         self.threshold = np.inf
         self.temperature = 1.0
@@ -168,31 +184,35 @@ class KneserNey:
         at[at == len(hashes)] = 0
         return at, (hashes[at] == wanted) if len(hashes) else np.zeros(len(wanted), bool)
 
-    def word(self, w: str) -> np.ndarray:
-        """log2 probability of a word's characters in each language, then its number of characters."""
-        out = np.zeros(len(self.languages) + 1)
-        if w.isdigit():
-            return out
-        padded = _BEGIN + "".join(c if c in self.letters else _OTHER for c in w) + _END
-        total = np.zeros(len(self.languages))
-        for i in range(1, len(padded)):
-            grams = [padded[max(0, i - n + 1) : i + 1] for n in range(min(self.order, i + 1), 0, -1)]
-            down = np.zeros(len(self.languages))
-            for g in grams:
-                table = self.tables[len(g) - 1]
-                at, hit = self._find(table["hash"], np.array([_hash(g)], dtype=np.uint64))
-                if hit[0]:
-                    total += down + table["value"][at[0]]
-                    break
-                if len(g) > 1:
-                    at, hit = self._find(self.back_hash, np.array([_hash(g[:-1])], dtype=np.uint64))
-                    if hit[0]:
-                        down = down + self.back[at[0]]
-            else:
-                total += down + self.floor
-        out[:-1] = total
-        out[-1] = len(padded) - 1
-        return out
+    def words(self, ws: list[str]) -> np.ndarray:
+        """[words, languages + 1]: log2 probability of a word's characters in each language, then their number.
+
+        All characters of all words at once: an order's n-grams are looked up together, and only the
+        characters that it doesn't hold go on to the next lower one with what their history hands down.
+        """
+        padded = [_BEGIN + "".join(c if c in self.letters else _OTHER for c in w) + _END for w in ws]
+        lengths = np.array([len(p) for p in padded], dtype=np.int64)
+        codes = _codes(padded)
+        starts = np.cumsum(lengths) - lengths
+        start = np.repeat(starts, lengths)
+        place = np.arange(len(codes))
+        skipped = np.array([w.isdigit() for w in ws], bool)
+        open_ = (place > start) & ~np.repeat(skipped, lengths)
+        total = np.zeros((len(codes), len(self.languages)))
+        down = np.zeros_like(total)
+        for n in range(self.order, 0, -1):
+            at = np.flatnonzero(open_ & (place - n + 1 >= start))
+            if not len(at):
+                continue
+            columns = [codes[at - n + 1 + k] for k in range(n)]
+            row, hit = self._find(self.tables[n - 1]["hash"], _hash(columns))
+            total[at[hit]] = down[at[hit]] + self.tables[n - 1]["value"][row[hit]]
+            open_[at[hit]] = False
+            if n > 1 and not hit.all():
+                row, known = self._find(self.back_hash, _hash([c[~hit] for c in columns[:-1]]))
+                down[at[~hit][known]] += self.back[row[known]]
+        total[open_] = down[open_] + self.floor
+        return np.column_stack([np.add.reduceat(total, starts), np.where(skipped, 0, lengths - 1)])
 
 
 class Scorer:
@@ -203,30 +223,30 @@ class Scorer:
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1024, len(model.languages) + 1))
 
-    def _number(self, w: str) -> int:
+    def _learn(self, words: list[str]) -> None:
+        new = sorted(set(words).difference(self.known))
+        if not new:
+            return
         n = len(self.known)
-        if n == len(self.rows):
+        while n + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[n] = self.model.word(w)
-        self.known[w] = n
-        return n
+        self.rows[n : n + len(new)] = self.model.words(new)
+        self.known.update(zip(new, range(n, n + len(new))))
 
     def score(self, sentences: list[list[str]]) -> np.ndarray:
         """[sentences, languages + 1]: summed log2 probabilities and number of characters."""
         if len(self.known) > MEMORY:
             self.known.clear()
-        known, flat = self.known, []
-        starts = np.zeros(len(sentences), np.int64)
-        for i, ws in enumerate(sentences):
-            starts[i] = len(flat)
-            try:
-                flat.extend([known[w] for w in ws])
-            except KeyError:
-                del flat[starts[i] :]
-                flat.extend([known[w] if w in known else self._number(w) for w in ws])
+        flat = [w for ws in sentences for w in ws]
         if not flat:
             return np.zeros((len(sentences), self.rows.shape[1]))
-        return np.add.reduceat(self.rows[np.array(flat)], starts, axis=0)
+        self._learn(flat)
+        lengths = np.array([len(ws) for ws in sentences], dtype=np.int64)
+        numbers = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        some = lengths > 0
+        out = np.zeros((len(sentences), self.rows.shape[1]))
+        out[some] = np.add.reduceat(self.rows[numbers], (np.cumsum(lengths) - lengths)[some], axis=0)
+        return out
 
     def decide(self, sentences: list[list[str]], texts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language number or -1, confidence, cross-entropy) of each sentence; texts: the text's number of each."""

@@ -166,19 +166,19 @@ def pieces(text: str, max_tokens: int, overlap: int, table: bool, fill: float =
     return out
 
 
-_PIECE = "chunk_no long, config_id int, piece_no int, pieces int, start_pos int, end_pos int, overlap_atoms int, text string, token_count int, max_tokens int"
+_PIECE = "chunk_no long, config_id int, piece_no int, pieces int, start_pos int, end_pos int, overlap_atoms int, overlap_asked int, text string, token_count int, max_tokens int"
 
 
 def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["chunk_no", "config_id", "piece_no", "pieces", "start_pos", "end_pos", "overlap_atoms", "text", "token_count", "max_tokens"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+    names = ["chunk_no", "config_id", "piece_no", "pieces", "start_pos", "end_pos", "overlap_atoms", "overlap_asked", "text", "token_count", "max_tokens"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
     for b in batches:
         rows: list[tuple] = []
         held = 0
         for no, config, text, kind, most, overlap in zip(*(b.column(i).to_pylist() for i in range(6))):
             cut = pieces(text, most, overlap, kind == "table")
             for k, (lo, hi, shared) in enumerate(cut):
-                rows.append((no, config, k, len(cut), lo, hi, shared, text[lo:hi], max(1, (hi - lo + 3) // 4), most))
+                rows.append((no, config, k, len(cut), lo, hi, shared, overlap if k else 0, text[lo:hi], max(1, (hi - lo + 3) // 4), most))
                 held += hi - lo
             if held > 4_000_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
@@ -190,7 +190,8 @@ def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def split_oversized(chunks: DataFrame, configs: DataFrame) -> DataFrame:
     """The pieces of every chunk whose text is larger than its configuration's max_tokens.
 
-    The size test runs in the scan's stage, so only oversized texts reach Python.
+    The size test runs in the scan's stage, so only oversized texts reach Python.  Where
+    ``overlap_atoms`` is less than ``overlap_asked``, no more sentences fitted beside a new one.
     """
     limits = configs.select(F.col("config_id").alias("c_id"), "max_tokens", F.greatest(F.coalesce("overlap_sentences", F.lit(0)), F.lit(0)).alias("overlap")).where(F.col("max_tokens") > 0)
     rows = chunks.select("chunk_no", "config_id", "text", "kind")
