@@ -62,6 +62,19 @@ def _expand(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return nth, offsets[rows][nth] + np.arange(len(nth)) - np.repeat(np.cumsum(size) - size, size)
 
 
+def _sums(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sums of their weights; counted in place where the keys lie close, else sorted."""
+    if not len(key):
+        return key, weight
+    low = int(key.min())
+    if int(key.max()) - low <= 4 * len(key):
+        sums = np.bincount(key - low, weight)
+        kept = np.flatnonzero(sums)  # weights are positive
+        return kept + low, sums[kept]
+    keys, of = np.unique(key, return_inverse=True)
+    return keys, np.bincount(of, weight, len(keys))
+
+
 def _offsets(row: np.ndarray, rows: int) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
 
@@ -168,8 +181,8 @@ class ItemIndex:
         # blocks whose maxima can reach their lowest threshold
         n_blocks, n = len(self.block_threshold), len(self.threshold)
         nth, at = _expand(self.block_at, term)
-        pair, of = np.unique(passage[nth] * n_blocks + self.block[at], return_inverse=True)
-        alive = pair[np.bincount(of, self.maxima[at], len(pair)) >= self.block_threshold[pair % n_blocks]]
+        pair, bound = _sums(passage[nth] * n_blocks + self.block[at], self.maxima[at])
+        alive = pair[bound >= self.block_threshold[pair % n_blocks]]
         if not len(alive):
             return none, none
         # their items, scored in full
@@ -179,8 +192,8 @@ class ItemIndex:
         block = passage[nth] * n_blocks + self.item[at] // BLOCK
         here = alive[np.minimum(np.searchsorted(alive, block), len(alive) - 1)] == block
         nth, at = nth[here], at[here]
-        pair, of = np.unique(passage[nth] * n + self.item[at], return_inverse=True)
-        good = pair[np.bincount(of, self.weight[at], len(pair)) >= self.threshold[pair % n]]
+        pair, score = _sums(passage[nth] * n + self.item[at], self.weight[at])
+        good = pair[score >= self.threshold[pair % n]]
         return good // n, good % n
 
 
