@@ -8,8 +8,8 @@ the wanted similarity shares a run among the first |x| - ceil(similarity * |x|)
 each, its prefix, so the rows of each prefix run are a bucket and buckets lose no pair.
 At the first run that a pair shares, it can share no more than what follows in either, so
 a row's place in a bucket bounds the size of its partners there; later runs may repeat it.
-The order comes from hashed counts (of a sample beyond ``COUNTED_ROWS``); another order
-would give larger buckets, never another result.
+The order comes from hashed counts of all runs of all texts; another order would give
+larger buckets, never another result.
 
 A class is sketched by the parities of its runs hashed to ``BITS`` bits.  A run that only
 one of two classes holds flips one bit, so sketches differ in at most as many bits as the
@@ -50,8 +50,7 @@ BITS = 192
 BUCKET_ROWS = 2048
 #: Entries of a query row and a word of 64 rows compared at once; bounds the arrays.
 ENTRIES = 16_384
-#: Rows whose runs are counted for the order of runs, and the counters they are hashed to (4 MB).
-COUNTED_ROWS = 1_000_000
+#: Counters that all runs are hashed to for their order (4 MB).
 COUNTER_BITS = 20
 #: Lists of row numbers or runs up to this long are broadcast (about 24 MB as a hash table), longer ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -139,11 +138,8 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(counts[met])], names=["counter", "n"])
 
 
-def run_counts(source: DataFrame, rows: int) -> np.ndarray:
-    """Hashed counts of the runs of all texts, or of a sample of ``COUNTED_ROWS``; they only order the runs."""
-    every = -(-rows // COUNTED_ROWS)
-    if every > 1:
-        source = source.where(F.pmod(F.xxhash64("row_no"), F.lit(every)) == 0)
+def run_counts(source: DataFrame) -> np.ndarray:
+    """Hashed counts of the runs of all texts, every row read."""
     got = source.select("text").mapInArrow(_count_batches, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << COUNTER_BITS, np.uint32)
     counts[got["counter"].to_numpy()] = np.minimum(got["n"].to_numpy(), 2**32 - 1)
@@ -395,7 +391,7 @@ def class_links(rows: DataFrame, *, row_no: str = "chunk_no", text: str = "text"
     spark = rows.sparkSession
     scratch = Scratch(spark, "neardup")
     source = rows.where(F.col(text).isNotNull()).select(F.col(row_no).cast("long").alias("row_no"), F.col(text).alias("text"))
-    counts = spark.sparkContext.broadcast(run_counts(source, rows.count()))
+    counts = spark.sparkContext.broadcast(run_counts(source))
     sketch = scratch.keep(source.mapInArrow(_sketch_batches(counts, similarity), _SKETCH), "sketches")
     classes = sketch.groupBy("k1", "k2").agg(F.min("row_no").alias("rep"), F.count("*").alias("copies"))
     classes = scratch.keep(classes, "classes")

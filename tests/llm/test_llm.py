@@ -257,6 +257,16 @@ def test_hot_buckets_are_cut_and_complete(spark):
     assert whole == cut and len(whole) > 500
 
 
+def test_every_row_is_counted_for_the_order(spark, monkeypatch):
+    seen = []
+    real = neardup._sketch_batches
+    monkeypatch.setattr(neardup, "COUNTED_ROWS", 50, raising=False)
+    monkeypatch.setattr(neardup, "_sketch_batches", lambda counts, similarity: seen.append(int(counts.value.sum())) or real(counts, similarity))
+    rows = near_rows(7, 300)
+    neardup.class_links(chunk_rows(spark, rows))
+    assert seen == [sum(len(set(zip(*(WORD.findall(t.lower())[k:] for k in range(3))))) for _, t, _, _ in rows if t is not None)]
+
+
 def test_bit_slices_count_exactly():
     rng = np.random.default_rng(0)
     sketch = rng.integers(0, 2**63, (200, neardup.BITS // 64), dtype=np.uint64)
