@@ -14,7 +14,9 @@ larger buckets, never another result.
 A class is sketched by the parities of its runs hashed to ``BITS`` bits.  A run that only
 one of two classes holds flips one bit, so sketches differ in at most as many bits as the
 sets in runs, which is (1 - similarity) / (1 + similarity) * (|x| + |y|) or less for a
-similar pair: this radius can't dismiss one.  Inside the buckets the sketches are bit-sliced:
+similar pair: this radius can't dismiss one.  Sets of over ``WIDE_FROM`` runs fill so few
+bits, so they carry a wider sketch too, by which the pairs that meet are compared under the
+same bound; of two widths the larger is folded.  Inside the buckets the sketches are bit-sliced:
 plane i holds bit i of 64 rows per word, and neighbouring buckets share words.  In a
 bucket, rows lie by size; each row asks at the words of the larger rows whose size fits.
 Differing bits are added by carry-save adders into vertical counters, a comparator after
@@ -23,7 +25,13 @@ word) is abandoned as soon as none is.  Survivors are compared exactly on their
 
 Buckets are never collected beyond ``BUCKET_ROWS``: larger ones are divided by the second
 run that two similar rows must share, and what is then still larger is cut into blocks,
-every pair of which is one unit of work, so all pairs are compared.
+every pair of which is one unit of work, so all pairs are compared.  Dividing repeats a
+posting for every second run, some twenty times, so buckets stay whole as long as a task
+can hold them; in a bucket a row asks only at the sizes its place leaves open.
+
+The postings are compared in rounds, each over a hash range of the buckets, whose shuffle
+files are freed before the next: the rounds bound the disk, and together they hold every
+bucket, so their number changes no result.
 
 Defined results: null texts have no row; texts of fewer than ``WORDS`` words have an
 empty set and are similar only to identical texts; row numbers are taken as unique
@@ -47,7 +55,13 @@ from ..shared import Scratch, partitions, small
 WORDS = 3
 SIMILARITY = 0.6
 BITS = 192
-BUCKET_ROWS = 2048
+BUCKET_ROWS = 65_536
+#: Sets of more runs have a wide sketch of the first of these widths (in bits) that they fill to 0.7 at most, or of the last.
+WIDE_FROM = 136
+WIDTHS = (512, 1024, 2048)
+#: Postings shuffled in one round: so many for each compared row, and never less than the second.
+ROUND_POSTINGS = 40
+LEAST_POSTINGS = 1_000_000
 #: Entries of a query row and a word of 64 rows compared at once; bounds the arrays.
 ENTRIES = 16_384
 #: Counters that all runs are hashed to for their order (4 MB).
@@ -97,6 +111,48 @@ def sketches(runs: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
 
 
+def wide_sketches(runs: np.ndarray, row: np.ndarray, size: np.ndarray) -> list[bytes | None]:
+    """Parities of the large sets by the low bits of other hashes, so a sketch folded in half is that of half the width."""
+    width = np.array(WIDTHS)[np.minimum(np.searchsorted(WIDTHS, size / 0.7), len(WIDTHS) - 1)]
+    out: list[bytes | None] = [None] * len(size)
+    for w in WIDTHS:
+        own = (width == w) & (size > WIDE_FROM)
+        rows = np.flatnonzero(own)
+        if len(rows):
+            bit = (mix(runs[own[row]]) & np.uint64(w - 1)).astype(np.int64)
+            odd = np.bincount((np.cumsum(own) - 1)[row[own[row]]] * w + bit, minlength=len(rows) * w).reshape(len(rows), w) & 1
+            for r, packed in zip(rows.tolist(), np.packbits(odd.astype(np.uint8), axis=1, bitorder="little")):
+                out[r] = packed.tobytes()
+    return out
+
+
+class Wide:
+    """Wide sketches of a batch's rows, folded to every width that two of them may share."""
+
+    def __init__(self, wide: np.ndarray) -> None:
+        self.bits = np.array([0 if x is None else 8 * len(x) for x in wide], dtype=np.int64)
+        self.folded = []
+        for w in WIDTHS:
+            rows = np.flatnonzero(self.bits >= w)
+            if not len(rows):
+                continue
+            matrix, place = np.empty((len(rows), w // 64), np.uint64), np.zeros(len(wide), np.int64)
+            for each in np.unique(self.bits[rows]):
+                at = np.flatnonzero(self.bits[rows] == each)
+                matrix[at] = np.bitwise_xor.reduce(np.frombuffer(b"".join(wide[rows[at]]), np.uint64).reshape(len(at), each // w, w // 64), axis=1)
+            place[rows] = np.arange(len(rows))
+            self.folded.append((w, place, matrix))
+
+    def near(self, i: np.ndarray, j: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """Pairs not dismissed; those without two wide sketches never are."""
+        out = np.ones(len(i), dtype=bool)
+        shared = np.minimum(self.bits[i], self.bits[j])
+        for w, place, matrix in self.folded:
+            at = np.flatnonzero(shared == w)
+            out[at] = np.bitwise_count(matrix[place[i[at]]] ^ matrix[place[j[at]]]).sum(axis=1) <= radius[at]
+        return out
+
+
 def most_apart(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     """Most runs held by only one of two similar sets of these sizes, so also most differing bits of their sketches."""
     return np.floor((1 - similarity) / (1 + similarity) * (a + b) + 1e-6).astype(np.int64)
@@ -147,7 +203,7 @@ def run_counts(source: DataFrame) -> np.ndarray:
 
 
 _BITS = [f"b{k}" for k in range(BITS // 64)]
-_SKETCH = f"row_no long, k1 long, k2 long, size int, {', '.join(b + ' long' for b in _BITS)}, length int, prefix array<long>"
+_SKETCH = f"row_no long, k1 long, k2 long, size int, {', '.join(b + ' long' for b in _BITS)}, wide binary, length int, prefix array<long>"
 
 
 def _sketch_batches(counts: Broadcast, similarity: float):
@@ -165,7 +221,7 @@ def _sketch_batches(counts: Broadcast, similarity: float):
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=hi - lo))]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(prefix)))
                 length = (size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1) * (size > 0)
-                yield pa.RecordBatch.from_arrays([numbers.slice(lo, hi - lo), pa.array(signed(keys[:, 0])), pa.array(signed(keys[:, 1])), pa.array(size.astype(np.int32)), *(pa.array(signed(bits[:, k])) for k in range(len(_BITS))), pa.array(length.astype(np.int32)), listed], names=["row_no", "k1", "k2", "size", *_BITS, "length", "prefix"])
+                yield pa.RecordBatch.from_arrays([numbers.slice(lo, hi - lo), pa.array(signed(keys[:, 0])), pa.array(signed(keys[:, 1])), pa.array(size.astype(np.int32)), *(pa.array(signed(bits[:, k])) for k in range(len(_BITS))), pa.array(wide_sketches(runs, row, size), pa.binary()), pa.array(length.astype(np.int32)), listed], names=["row_no", "k1", "k2", "size", *_BITS, "wide", "length", "prefix"])
 
     return run
 
@@ -193,8 +249,14 @@ def within(sketch: np.ndarray, ask: np.ndarray, word: np.ndarray, wanted: np.nda
     digit enter a tree of carry-save adders at a time; the comparator then drops rows
     beyond the radius, and an entry is abandoned when none of its rows is left.
     """
-    plane = planes(sketch)
-    bits = np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8).reshape(len(sketch), -1), axis=1, bitorder="little")
+    return _within(planes(sketch), _bits(sketch), ask, word, wanted, radius)
+
+
+def _bits(sketch: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8).reshape(len(sketch), sketch.shape[1] * 8), axis=1, bitorder="little")
+
+
+def _within(plane: np.ndarray, bits: np.ndarray, ask: np.ndarray, word: np.ndarray, wanted: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = [_within_block(plane, bits, *(x[lo : lo + ENTRIES] for x in (ask, word, wanted, radius))) for lo in range(0, len(ask), ENTRIES)]
     return tuple(np.concatenate(x) if out else np.empty(0, np.int64) for x in (zip(*out) if out else ((), ())))
 
@@ -250,7 +312,7 @@ def _exceeds(count: list[np.ndarray], limit: list[np.ndarray]) -> np.ndarray:
     return above
 
 
-def bucket_pairs(bucket: np.ndarray, ids: np.ndarray, size: np.ndarray, most: np.ndarray, sketch: np.ndarray, side: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+def bucket_pairs(bucket: np.ndarray, ids: np.ndarray, size: np.ndarray, most: np.ndarray, sketch: np.ndarray, side: np.ndarray, similarity: float = SIMILARITY, wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs (smaller id first) of many buckets at once, whatever their sizes.
 
     Rows come in order of their bucket's number and size, so buckets share words of the planes:
@@ -267,6 +329,22 @@ def bucket_pairs(bucket: np.ndarray, ids: np.ndarray, size: np.ndarray, most: np
     asking = np.flatnonzero(end > begin)
     if not len(asking):
         return np.empty(0, np.int64), np.empty(0, np.int64)
+    # as many asking rows at once as list ENTRIES entries together, at least one
+    listed = np.cumsum((end[asking] - 1) // 64 - begin[asking] // 64 + 1)
+    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    plane, bits, wider = planes(sketch), _bits(sketch), None if wide is None else Wide(wide)
+    lo = 0
+    while lo < len(asking):
+        hi = max(lo + 1, int(np.searchsorted(listed, (listed[lo - 1] if lo else 0) + ENTRIES, side="right")))
+        a, b = _asked(asking[lo:hi], begin, end, ids, size, most, sketch, plane, bits, side, similarity, wider)
+        out_a.append(a)
+        out_b.append(b)
+        lo = hi
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _asked(asking: np.ndarray, begin: np.ndarray, end: np.ndarray, ids: np.ndarray, size: np.ndarray, most: np.ndarray, sketch: np.ndarray, plane: np.ndarray, bits: np.ndarray, side: np.ndarray, similarity: float, wider: Wide | None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of the asking rows with the rows of their ranges."""
     first, last = begin[asking] // 64, (end[asking] - 1) // 64
     words_each = last - first + 1
     ask = np.repeat(asking, words_each)
@@ -276,10 +354,13 @@ def bucket_pairs(bucket: np.ndarray, ids: np.ndarray, size: np.ndarray, most: np
     full = ~np.uint64(0)
     wanted = (full << lo) & (full >> (64 - hi).astype(np.uint64))
     radius = most_apart(size[ask], size[word * 64 + hi - 1], similarity)
-    i, j = within(sketch, ask, word, wanted, radius)
+    i, j = _within(plane, bits, ask, word, wanted, radius)
     good = (size[i] <= most[j]) & (ids[i] != ids[j]) & ((side[i] == 0) | (side[i] != side[j]))
     i, j = i[good], j[good]
-    near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= most_apart(size[i], size[j], similarity)
+    apart = most_apart(size[i], size[j], similarity)
+    near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= apart
+    if wider is not None:
+        near &= wider.near(i, j, apart)
     a, b = ids[i[near]], ids[j[near]]
     return np.minimum(a, b), np.maximum(a, b)
 
@@ -305,7 +386,7 @@ def _compare_batches(similarity: float):
             nonlocal rest, held
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
-            key, unit, side, ids, size, most, *parts = cols
+            key, unit, side, ids, size, most, *parts, wide = cols
             if not len(key):
                 rest = None
                 return
@@ -315,7 +396,7 @@ def _compare_batches(similarity: float):
             bucket = np.cumsum(new[:end]) - 1
             several = np.bincount(bucket)[bucket] > 1
             sketch = np.stack([p[:end][several] for p in parts], axis=1).view(np.uint64)
-            a, b = bucket_pairs(bucket[several], *(x[:end][several] for x in (ids, size, most)), sketch, side[:end][several], similarity)
+            a, b = bucket_pairs(bucket[several], *(x[:end][several] for x in (ids, size, most)), sketch, side[:end][several], similarity, wide[:end][several])
             if len(a):
                 out_a.append(a)
                 out_b.append(b)
@@ -323,7 +404,7 @@ def _compare_batches(similarity: float):
             rest = None if closed else [c[end:] for c in cols]
 
         for b in batches:
-            work([np.asarray(b.column(k)) for k in range(b.num_columns)], False)
+            work([b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)], False)
             if held > 200_000:
                 yield emit()
         if rest is not None:
@@ -386,54 +467,31 @@ def shared_runs(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarr
     return both, size[a] + size[b] - both
 
 
-def class_links(rows: DataFrame, *, row_no: str = "chunk_no", text: str = "text", similarity: float = SIMILARITY, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members: row_no, rep, raw), (links: a, b, similarity between class representatives), sketches."""
+def class_links(rows: DataFrame, *, row_no: str = "chunk_no", text: str = "text", similarity: float = SIMILARITY, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(members: row_no, rep, copies), (links: a, b, similarity between class representatives)."""
     spark = rows.sparkSession
     scratch = Scratch(spark, "neardup")
     source = rows.where(F.col(text).isNotNull()).select(F.col(row_no).cast("long").alias("row_no"), F.col(text).alias("text"))
-    counts = spark.sparkContext.broadcast(run_counts(source))
+    counted = run_counts(source)
+    counts = spark.sparkContext.broadcast(counted)
     sketch = scratch.keep(source.mapInArrow(_sketch_batches(counts, similarity), _SKETCH), "sketches")
     classes = sketch.groupBy("k1", "k2").agg(F.min("row_no").alias("rep"), F.count("*").alias("copies"))
     classes = scratch.keep(classes, "classes")
-    members = sketch.select("row_no", "k1", "k2").join(classes, ["k1", "k2"]).select("row_no", "rep", "copies")
+    members = scratch.keep(sketch.select("row_no", "k1", "k2").join(classes, ["k1", "k2"]).select("row_no", "rep", "copies"), "members")
     others = scratch.keep(members.where(F.col("row_no") != F.col("rep")).select("row_no"), "others")
-    reps = sketch.where(F.col("size") > 0).join(small(others, BROADCAST_ROWS), "row_no", "left_anti")
-    # what follows a pair's first common run bounds what it shares, and so the size of a partner met there
-    partner = F.floor((F.col("size") - F.col("pos")) * F.lit((1 + similarity) / similarity) + F.lit(1e-6)).cast("int") - F.col("size")
-    own = ["row_no", "size", "most", *_BITS]
-    met = reps.select("*", F.posexplode("prefix").alias("pos", "run")).where(F.col("pos") < F.col("length")).withColumn("most", partner)
-    postings = met.select("run", *own)
-
-    def crowded(p: DataFrame, name: str) -> DataFrame:
-        """Runs met by more rows than one task should compare; counted with map-side combination."""
-        return scratch.keep(p.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows), name)
+    reps = scratch.keep(sketch.where(F.col("size") > 0).join(small(others, BROADCAST_ROWS), "row_no", "left_anti").drop("k1", "k2"), "reps")
+    for done in (sketch, classes, others):
+        scratch.drop(done)
+    scratch.free()
 
-    units = postings.select("run", F.lit(0).cast("long").alias("unit"), F.lit(0).alias("side"), *own)
-    hot = crowded(postings, "hot")
-    if hot.take(1):
-        hot_runs = small(hot, BROADCAST_ROWS)
-        # two similar rows share a second run behind the first one, no further than the run behind their prefixes:
-        # a crowded bucket is divided by it (a row of a single run has no second one and meets only its like)
-        second = F.when(F.col("size") == 1, F.array("run")).otherwise(F.slice("prefix", F.col("pos") + 2, F.size("prefix")))
-        divided = met.join(hot_runs.select("run"), "run", "left_semi").select("run", F.explode(second).alias("second"), *own).withColumn("run", F.xxhash64("run", "second")).drop("second")
-        hotter = small(crowded(divided, "hotter"), BROADCAST_ROWS)
-        blocks = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(max(1, bucket_rows // 2))).cast("int")
-        placed = divided.join(hotter, "run", "left").withColumn("blocks", F.when(F.col("n").isNull(), F.lit(1)).otherwise(blocks))
-        block = F.pmod(F.xxhash64("row_no"), F.col("blocks")).cast("int")
-        # what is still crowded is cut into blocks: block x meets every block y in unit (min, max), as sides 1 and 2; its own pairs are unit (x, x)
-        placed = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        lo, hi = F.least("block", "other"), F.greatest("block", "other")
-        side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") == lo, 1).otherwise(2).cast("int")
-        cool = units.join(hot_runs.select("run"), "run", "left_anti")
-        units = cool.unionByName(placed.select("run", (lo * F.col("blocks") + hi).cast("long").alias("unit"), side.alias("side"), *own))
-    sorted_ = units.repartition(partitions(spark), "run", "unit").sortWithinPartitions("run", "unit", "size")
-    candidates = sorted_.mapInArrow(_compare_batches(similarity), "a long, b long").distinct()
-    candidates = scratch.keep(candidates, "candidates")
-    scratch.drop(others)
+    candidates = _candidates(scratch, reps, counted, similarity, bucket_rows)
+    scratch.drop(reps)
+    scratch.free()
 
     wanted = candidates.select(F.col("a").alias("row_no")).unionByName(candidates.select(F.col("b").alias("row_no"))).distinct()
     wanted = small(scratch.keep(wanted, "wanted"), BROADCAST_ROWS)
     texts = scratch.keep(source.join(wanted, "row_no", "left_semi"), "texts")
+    scratch.free()
     links = (
         candidates.join(texts.select(F.col("row_no").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("row_no").alias("b"), F.col("text").alias("text_b")), "b")
@@ -441,13 +499,94 @@ def class_links(rows: DataFrame, *, row_no: str = "chunk_no", text: str = "text"
         .mapInArrow(_verify_batches(similarity), "a long, b long, similarity double")
     )
     links = scratch.keep(links.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
-    scratch.drop(texts)
-    return members, links, sketch
+    for done in (candidates, texts):
+        scratch.drop(done)
+    scratch.free()
+    return members, links
+
+
+def _candidates(scratch: Scratch, reps: DataFrame, counted: np.ndarray, similarity: float, bucket_rows: int) -> DataFrame:
+    """Distinct pairs a < b of compared rows that share a bucket and whose sketches are near enough."""
+    spark = scratch.spark
+    # what follows a pair's first common run bounds what it shares, and so the size of a partner met there
+    partner = F.floor((F.col("size") - F.col("pos")) * F.lit((1 + similarity) / similarity) + F.lit(1e-6)).cast("int") - F.col("size")
+    own = ["row_no", "size", "most", *_BITS, "wide"]
+    met = reps.select("*", F.posexplode("prefix").alias("pos", "run")).where(F.col("pos") < F.col("length")).withColumn("most", partner)
+    n_reps, n_postings = reps.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    bound = max(LEAST_POSTINGS, ROUND_POSTINGS * n_reps)
+    found: list[DataFrame] = []
+
+    def rounds(postings: int) -> int:
+        return max(1, -(-postings // bound))
+
+    def part(df: DataFrame, k: int, n: int, *key: str) -> DataFrame:
+        """Round k of n: every key is in one of them."""
+        return df if n == 1 else df.where(F.pmod(F.xxhash64(*key), F.lit(n)) == k)
+
+    def compare(units: DataFrame, postings: int) -> None:
+        n = rounds(postings)
+        for k in range(n):
+            sorted_ = part(units, k, n, "run", "unit").repartition(partitions(spark), "run", "unit").sortWithinPartitions("run", "unit", "size")
+            found.append(scratch.keep(sorted_.mapInArrow(_compare_batches(similarity), "a long, b long").distinct(), "found"))
+            if n > 1:
+                scratch.free()
+
+    def crowded(p: DataFrame, name: str) -> DataFrame:
+        """Runs met by more rows than one task should compare; counted with map-side combination."""
+        return scratch.keep(p.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows), name)
+
+    def whole(p: DataFrame) -> DataFrame:
+        return p.select("run", F.lit(0).cast("long").alias("unit"), F.lit(0).alias("side"), *own)
+
+    # a run's counter holds all its occurrences, so a crowded run has a crowded counter; the others needn't be counted again
+    heavy = np.flatnonzero(counted > bucket_rows)
+    if not len(heavy):
+        compare(whole(met), n_postings)
+    else:
+        counters = spark.createDataFrame(pa.table({"counter": heavy.astype(np.int64)}))
+        maybe = met.select("run").withColumn("counter", F.shiftrightunsigned("run", 64 - COUNTER_BITS))
+        hot = crowded(maybe.join(F.broadcast(counters) if len(heavy) <= BROADCAST_ROWS else counters, "counter", "left_semi"), "hot")
+        hot_runs = small(hot, BROADCAST_ROWS).select("run")
+        n_hot = hot.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        compare(whole(met.join(hot_runs, "run", "left_anti") if n_hot else met), n_postings - n_hot)
+        if n_hot:
+            # two similar rows share a second run behind the first one, no further than the run behind their prefixes:
+            # a crowded bucket is divided by it (a row of a single run has no second one and meets only its like)
+            behind = F.when(F.col("size") == 1, F.array("run")).otherwise(F.slice("prefix", F.col("pos") + 2, F.size("prefix")))
+            crowd = met.join(hot_runs, "run", "left_semi").withColumn("behind", behind)
+            n = rounds(crowd.agg(F.sum(F.size("behind"))).first()[0])
+            for k in range(n):
+                divided = part(crowd, k, n, "run").select("run", F.explode("behind").alias("second"), *own).withColumn("run", F.xxhash64("run", "second")).drop("second")
+                hotter = crowded(divided, "hotter")
+                blocks = F.ceil(F.col("n") / F.lit(max(1, bucket_rows // 2))).cast("int")
+                n_divided = bound  # the rounds hold about as many
+                copied = hotter.agg(F.sum(F.col("n") * blocks)).first()[0]
+                if not copied:
+                    compare(whole(divided), n_divided)
+                    continue
+                hotter = small(hotter, BROADCAST_ROWS)
+                compare(whole(divided.join(hotter.select("run"), "run", "left_anti")), n_divided)
+                # what is still crowded is cut into blocks: block x meets every block y in unit (min, max), as sides 1 and 2; its own pairs are unit (x, x)
+                placed = divided.join(hotter, "run").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("row_no"), F.col("blocks")).cast("int"))
+                placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                lo, hi = F.least("block", "other"), F.greatest("block", "other")
+                side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") == lo, 1).otherwise(2).cast("int")
+                compare(placed.select("run", (lo * F.col("blocks") + hi).cast("long").alias("unit"), side.alias("side"), *own), copied)
+                scratch.free()
+    if len(found) == 1:
+        return found[0]
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    pairs = scratch.keep(pairs.distinct(), "candidates")
+    for done in found:
+        scratch.drop(done)
+    return pairs
 
 
 def found(rows: DataFrame) -> DataFrame:
     """chunk_a, chunk_b: every pair of rows of one class and of linked classes."""
-    members, links, _ = class_links(rows)
+    members, links = class_links(rows)
     several = members.where(F.col("copies") > 1)
     left = several.select("rep", F.col("row_no").alias("chunk_a"))
     right = several.select("rep", F.col("row_no").alias("chunk_b"))
@@ -460,6 +599,6 @@ def found(rows: DataFrame) -> DataFrame:
 
 def groups(rows: DataFrame) -> DataFrame:
     """row_no, rep (its class's first row), copies, links: one row per row."""
-    members, links, _ = class_links(rows)
+    members, links = class_links(rows)
     n = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
     return members.join(n, "rep", "left").select("row_no", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"))

@@ -9,6 +9,7 @@ a folder of our own is created and removed at exit.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -64,6 +65,11 @@ class Scratch:
         if path:
             _remove(self.spark, path)
 
+    def free(self) -> None:
+        """Let Spark remove the shuffle files of finished steps now; else they stay until the driver happens to collect its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def small(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has been counted and found within the bound, else as it is.

@@ -2,6 +2,8 @@
 
 import random
 import re
+import subprocess
+import threading
 from collections import Counter, defaultdict
 from itertools import combinations, product
 
@@ -267,6 +269,60 @@ def test_every_row_is_counted_for_the_order(spark, monkeypatch):
     assert seen == [sum(len(set(zip(*(WORD.findall(t.lower())[k:] for k in range(3))))) for _, t, _, _ in rows if t is not None)]
 
 
+def phrase_rows(n):
+    """Every row has 16 of 40 phrases in any order: their runs are met by two rows of five, few rows are similar."""
+    rng = random.Random(11)
+    phrases = [" ".join(f"p{i}w{k}" for k in range(12)) for i in range(40)]
+    return [(i, " ".join(rng.sample(phrases, 16)), "text", 1) for i in range(n)]
+
+
+def test_crowded_runs_take_little_disk(spark):
+    """Runs of 2,400 rows: the shuffle files stay below 60 MB, as such buckets aren't divided."""
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    rows, most, done = chunk_rows(spark, phrase_rows(6000)), [0], threading.Event()
+
+    def used():
+        return sum(int(x.split()[0]) for x in subprocess.run(["du", "-sk", *dirs], capture_output=True, text=True).stdout.splitlines()) / 1000
+
+    def watch():
+        while not done.wait(0.2):
+            most[0] = max(most[0], used())
+
+    neardup.Scratch(spark, "none").free()
+    before, watcher = used(), threading.Thread(target=watch)
+    watcher.start()
+    try:
+        neardup.class_links(rows)
+    finally:
+        done.set()
+        watcher.join()
+    assert most[0] - before < 60
+
+
+def test_rounds_and_divided_buckets_lose_no_pair(spark, monkeypatch):
+    rows = near_rows(4, 150) + [(1000 + n, t, k, c) for n, t, k, c in phrase_rows(60)]
+    df = chunk_rows(spark, rows)
+    whole = values(neardup.class_links(df)[1].select("a", "b"))
+    monkeypatch.setattr(neardup, "LEAST_POSTINGS", 2000)
+    monkeypatch.setattr(neardup, "ROUND_POSTINGS", 1)
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    assert whole and values(neardup.class_links(df)[1].select("a", "b")) == whole
+
+
+def test_wide_sketches_dismiss_no_similar_pair():
+    rng = np.random.default_rng(8)
+    sets = []
+    for n in (137, 200, 357, 360, 700, 720, 1500, 3000):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        sets += [base, base[: -(-6 * n // 10)], np.concatenate([base[n // 4 :], rng.integers(0, 2**63, n // 7, dtype=np.uint64)]), rng.integers(0, 2**63, n, dtype=np.uint64)]
+    size = np.array([len(x) for x in sets])
+    wide = neardup.wide_sketches(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), size)
+    i, j = (np.array(x) for x in zip(*combinations(range(len(sets)), 2)))
+    near = neardup.Wide(np.array(wide, dtype=object)).near(i, j, neardup.most_apart(size[i], size[j], 0.6))
+    similar = np.array([len(set(sets[a]) & set(sets[b])) >= 0.6 * len(set(sets[a]) | set(sets[b])) for a, b in zip(i, j)])
+    assert similar.sum() > 8 and near[similar].all() and not near[~similar].all()
+
+
 def test_bit_slices_count_exactly():
     rng = np.random.default_rng(0)
     sketch = rng.integers(0, 2**63, (200, neardup.BITS // 64), dtype=np.uint64)
